@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidepanel.llm.bpe_dp import encode
 from tidepanel.llm.common import ready, table
+from tidepanel.llm.langid_ecoc import identify
+from tidepanel.llm.quality_llr import quality
 from tidepanel.llm.range_join import range_join
 from tidepanel.llm.superminhash import near_duplicates
 
@@ -19,7 +24,20 @@ def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op3_range_join, op4_superminhash]
+def op5_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op3_range_join, op4_superminhash, op5_quality_llr, op6_langid_ecoc, op9_bpe_dp]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
