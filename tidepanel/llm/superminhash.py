@@ -15,6 +15,7 @@ distance is a metric); a task returns links, never the pairs it looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -152,17 +153,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, wide: bool) -> DataFrame:
 def _within(batches: Iterable[pa.RecordBatch], threshold: float, m: int) -> Iterator[pa.RecordBatch]:
     """Links between the members of a block, or of two, of one bucket."""
     reach = 1 - threshold + 1e-9
-    for (_, i, j), group in rows_by_key(batches, ["key", "i", "j"]):
+    for (_, _, i, j), group in rows_by_key(batches, ["key", "kind", "i", "j"]):
         ids, comp, far = (group.column(c).to_numpy() for c in ("id", "comp", "far"))
         side, band = group.column("side").to_numpy(), int(group.column("band")[0].as_py())
         keys = np.stack(group.column("bands").to_numpy(zero_copy_only=False)) if len(ids) else None
         sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("elements")]
         values = signatures([s.astype(_U) for s in sets], m)
         joined, found = UnionFind(), []
-        tops = np.flatnonzero(side == 0) if i != j else np.arange(len(ids))
-        others = np.flatnonzero(side == 1) if i != j else np.arange(len(ids))
+        tops, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if i == j:
+            others = np.arange(len(ids))
         for p in tops.tolist():
-            q = others[(ids[others] != ids[p])] if i != j else others[others > p]
+            q = others if i != j else others[(others > p) | (side[others] == 1)]
             q = q[(comp[q] != comp[p]) & (np.abs(far[q] - far[p]) <= reach) & ((far[q] > reach) | (far[p] > reach))]
             if band and len(q):
                 q = q[~(keys[q, :band] == keys[p, :band]).any(axis=1)]
@@ -202,12 +204,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
     classes = materialize(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     # one row for each class: a repeated doc_id can have several rows
     reps = materialize(
-        full.select("doc_id", "f1", "f2", "bands")
+        full.select("doc_id", "n_shingles", "f1", "f2", "bands")
         .join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"])
         .dropDuplicates(["doc_id", "f1", "f2"])
-        .select(F.col("doc_id").alias("id"), "bands")
+        .select(F.col("doc_id").alias("id"), "n_shingles", "bands")
     )
-    banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("id", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key"))
     buckets = materialize(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     members = materialize(banded.join(buckets, "key"))
     stars = materialize(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
@@ -231,25 +233,59 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
     placed = materialize(
         members.join(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), "far"), ["hub", "id"], "left")
         .join(groups, "id", "left")
-        .select("key", "band", "id", F.coalesce("component", "id").alias("comp"), F.coalesce("far", F.lit(0.0)).alias("far"), "n")
+        .select("key", "band", "id", "size", F.coalesce("component", "id").alias("comp"), F.coalesce("far", F.lit(0.0)).alias("far"))
     )
     reach = F.lit(1 - at + 1e-9)
     open_buckets = materialize(
         placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.when(F.col("far") > reach - F.lit(MARGIN), F.col("far"))).alias("least")).where("c0 < c1 and least is not null").select("key", "least")
     )
     rest = placed.join(open_buckets, "key").where(F.col("far") >= F.col("least") - reach)
+    # sets of similar size only: a member stays in its size class and visits the one below
     rest = (
-        rest.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "far", "band")
-        .join(reps, "id")
+        rest.withColumn("kind", F.floor(F.ln("size") / F.lit(math.log(1 / at)) + F.lit(1e-9)).cast("int"))
+        .withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1))))
+        .select("key", (F.col("kind") - F.col("visit")).alias("kind"), "visit", "id", "comp", "far", "band")
+    )
+    rest = materialize(rest)
+    split = (
+        rest.groupBy("key", "kind")
+        .agg(
+            F.min("comp").alias("c0"),
+            F.max("comp").alias("c1"),
+            F.max("far").alias("most"),
+            *(F.ceil(F.count(F.when(F.col("visit") == v, 1)) / F.lit(block)).cast("int").alias(name) for v, name in ((0, "homes"), (1, "visits"))),
+        )
+        .where((F.col("homes") > 0) & (F.col("c0") < F.col("c1")) & (F.col("most") > reach - F.lit(MARGIN)))
+        .select("key", "kind", "homes", "visits")
+    )
+    # tasks (i, i): members of block i among themselves and with the first block of visitors;
+    # (i, j): members of block i with another block, of members or of visitors
+    own = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.when(F.col("visit") == 0, F.col("homes")).otherwise(F.col("visits")))).cast("int")
+    own = own + F.when((F.col("visit") == 1) & (own > 0), F.col("homes") - 1).otherwise(F.lit(0))
+    met = F.when(F.col("visit") == 0, F.col("homes") + F.greatest(F.col("visits") - 1, F.lit(0))).otherwise(F.col("homes"))
+    first = (F.col("visit") == 1) & (F.col("own") == 0)
+    rest = (
+        rest.join(materialize(split), ["key", "kind"])
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+        .select(
+            "key",
+            "kind",
+            F.when(first, F.col("other")).otherwise(F.least("own", "other")).alias("i"),
+            F.when(first, F.col("other")).otherwise(F.greatest("own", "other")).alias("j"),
+            F.when(F.col("visit") == 1, F.lit(1)).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
+            "id",
+            "comp",
+            "far",
+            "band",
+        )
+        .join(reps.select("id", "bands"), "id")
         .join(sets, "id")
     )
     more = (
-        rest.repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-        .select("key", "i", "j", "side", "id", "comp", "far", "band", "bands", "elements")
+        rest.repartition("key", "kind", "i", "j")
+        .sortWithinPartitions("key", "kind", "i", "j")
+        .select("key", "kind", "i", "j", "side", "id", "comp", "far", "band", "bands", "elements")
         .mapInArrow(lambda it: _within(it, at, rows * bands), "a long, b long")
     )
     edges = groups.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(exact(more.distinct()))
