@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.llm import blob_ledger, mixing
 from tidepanel.llm.bpe_dp import encode
-from tidepanel.llm.common import ready, table
+from tidepanel.llm.common import materialize, ready, table
 from tidepanel.llm.langid_ecoc import identify
 from tidepanel.llm.quality_llr import quality
 from tidepanel.llm.range_join import range_join
 from tidepanel.llm.superminhash import near_duplicates
+from tidepanel.llm.warc_index import archive_index
+
+
+def op2_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = materialize(blob_ledger.scan(versions, blob_ledger.empty_ledger(spark)))
+    return blob_ledger.digest(blob_ledger.findings(versions, ledger).select("doc_id", "spans"))
 
 
 def op3_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +40,30 @@ def op6_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "stamp")
+
+
 def op9_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op3_range_join, op4_superminhash, op5_quality_llr, op6_langid_ecoc, op9_bpe_dp]
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op2_blob_ledger,
+    op3_range_join,
+    op4_superminhash,
+    op5_quality_llr,
+    op6_langid_ecoc,
+    op8_warc_index,
+    op9_bpe_dp,
+    op10_mixing,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -48,13 +74,47 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {rank} AS k, '{kind}' AS kind, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[i]) AS n
+  FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, m, b, g FROM (
+    SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, string_split_regex(t, '{pattern}') AS b, regexp_extract_all(t, '{pattern}', {group}) AS g FROM d))
+  WHERE length(g[i]) >= {least}"""
+
+
+_SPANS = " UNION ALL ".join(_spans_sql(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(blob_ledger.RULES))
+_SPELLED = "string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k)"
+
 ORACLES: dict[str, str] = {
+    "op2_blob_ledger": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_SPANS}), g AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    {_SPELLED} FILTER (k < 3) AS base, {_SPELLED} AS spans
+  FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+""",
+    "op8_warc_index": """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), f AS (SELECT digest, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < first THEN first END AS refers_to,
+  array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www[0-9]*\\.', ''), '.')), ',')
+    || ')' || coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)), ''), '/') AS urlkey,
+  strftime(TIMESTAMP '2020-01-01' + INTERVAL 1 SECOND * page_id, '%Y%m%d%H%M%S') AS stamp
+FROM p LEFT JOIN f ON f.digest = p.digest
+""",
     "op3_range_join": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), ok AS (
   SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -70,10 +130,10 @@ FROM v JOIN c ON c.id = v.vec_id
 """,
     "op4_superminhash": """
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS g FROM d
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d
 ), n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s
 ), e AS (SELECT doc_id, unnest(g) AS x FROM s
 ), o AS (
