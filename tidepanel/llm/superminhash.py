@@ -32,7 +32,7 @@ _U = np.uint64
 #: 32 bands of 3: two sets at similarity 0.75 miss all bands with a chance of 2e-8.
 ROWS, BANDS = 3, 32
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 512
+BLOCK = 2048
 #: Comparisons on 32-bit elements decide outside this margin, on 64-bit elements inside.
 MARGIN = 0.005
 #: Estimates of SuperMinHash (standard error 0.044 at 0.75 for 96 slots) rule a pair out below.
@@ -158,7 +158,7 @@ def _within(batches: Iterable[pa.RecordBatch], threshold: float, m: int) -> Iter
         side, band = group.column("side").to_numpy(), int(group.column("band")[0].as_py())
         keys = np.stack(group.column("bands").to_numpy(zero_copy_only=False)) if len(ids) else None
         sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("elements")]
-        values = signatures([s.astype(_U) for s in sets], m)
+        values, size = signatures([s.astype(_U) for s in sets], m), np.array([len(s) for s in sets])
         joined, found = UnionFind(), []
         tops, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if i == j:
@@ -166,6 +166,7 @@ def _within(batches: Iterable[pa.RecordBatch], threshold: float, m: int) -> Iter
         for p in tops.tolist():
             q = others if i != j else others[(others > p) | (side[others] == 1)]
             q = q[(comp[q] != comp[p]) & (np.abs(far[q] - far[p]) <= reach) & ((far[q] > reach) | (far[p] > reach))]
+            q = q[np.minimum(size[q], size[p]) >= (threshold - MARGIN) * np.maximum(size[q], size[p])]
             if band and len(q):
                 q = q[~(keys[q, :band] == keys[p, :band]).any(axis=1)]
             if len(q):
@@ -174,11 +175,8 @@ def _within(batches: Iterable[pa.RecordBatch], threshold: float, m: int) -> Iter
                 c, d = int(comp[p]), int(comp[r])
                 if joined.find(c) == joined.find(d):
                     continue
-                least, most = sorted((len(sets[p]), len(sets[r])))
-                if least < (threshold - MARGIN) * most:
-                    continue
                 both = _overlap(sets[p], sets[r])
-                share = both / (least + most - both)
+                share = both / (size[p] + size[r] - both)
                 if share >= threshold - MARGIN:
                     found.append((min(ids[p], ids[r]), max(ids[p], ids[r])))
                     if share >= threshold + MARGIN:
@@ -237,13 +235,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
     )
     reach = F.lit(1 - at + 1e-9)
     open_buckets = materialize(
-        placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.when(F.col("far") > reach - F.lit(MARGIN), F.col("far"))).alias("least")).where("c0 < c1 and least is not null").select("key", "least")
+        placed.groupBy("key")
+        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.when(F.col("far") > reach - F.lit(MARGIN), F.col("far"))).alias("least"), F.count("*").alias("n"))
+        .where("c0 < c1 and least is not null")
+        .select("key", "least", "n")
     )
     rest = placed.join(open_buckets, "key").where(F.col("far") >= F.col("least") - reach)
-    # sets of similar size only: a member stays in its size class and visits the one below
+    # only sets of similar size can be linked: in a large bucket a member stays in its size class and visits the one below
+    large = F.col("n") > F.lit(block)
     rest = (
-        rest.withColumn("kind", F.floor(F.ln("size") / F.lit(math.log(1 / at)) + F.lit(1e-9)).cast("int"))
-        .withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1))))
+        rest.withColumn("kind", F.when(large, F.floor(F.ln("size") / F.lit(math.log(1 / at)) + F.lit(1e-9)).cast("int")).otherwise(F.lit(0)))
+        .withColumn("visit", F.explode(F.when(large, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         .select("key", (F.col("kind") - F.col("visit")).alias("kind"), "visit", "id", "comp", "far", "band")
     )
     rest = materialize(rest)
