@@ -15,9 +15,14 @@ from tidepanel.llm.langid_ecoc import identify
 from tidepanel.llm.quality_llr import quality
 from tidepanel.llm.range_join import range_join
 from tidepanel.llm.superminhash import near_duplicates
+from tidepanel.llm.template_ec import main_text
 from tidepanel.llm.warc_index import archive_index
 
 
+def op1_template_ec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = materialize(blob_ledger.scan(versions, blob_ledger.empty_ledger(spark)))
@@ -55,6 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op1_template_ec,
     op2_blob_ledger,
     op3_range_join,
     op4_superminhash,
