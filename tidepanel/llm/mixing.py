@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import materialize
-from tidepanel.llm.textkernel import mix
+from tidepanel.llm.textkernel import mix, slices, word_bounds
 
 _U = np.uint64
 #: Words of a block.
@@ -112,15 +112,16 @@ def _drawn(slots: list[int], shards: int, seed: int) -> list[tuple[int, int, int
 
 
 def _mapped(batches: Iterable[pa.RecordBatch], sizes: list[int], seeds: list[int], block: int) -> Iterator[pa.RecordBatch]:
-    """(shard, s, slot, block, last) of each slot."""
+    """(shard, s, slot, block, epoch) of each slot; epoch: how often its source's blocks have all been given before."""
     for batch in batches:
         source, slot = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        found = np.empty(len(slot), np.int64)
+        found, epoch = np.empty(len(slot), np.int64), np.empty(len(slot), np.int64)
         for s in np.unique(source).tolist():
             own = np.flatnonzero(source == s)
             blocks = -(-sizes[s] // block)
-            found[own] = permuted(slot[own] % blocks, blocks, seeds[s])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found)], ["shard", "s", "slot", "block"])
+            epoch[own], place = np.divmod(slot[own], blocks)
+            found[own] = permuted(place, blocks, seeds[s])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found), pa.array(epoch)], ["shard", "s", "slot", "block", "epoch"])
 
 
 class Mix:
@@ -141,7 +142,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     Sources come by code point, null last, and weigh ``weights`` in turn. documents: doc_id, key,
     s (number of the source), start (place of its first word), size (words; null text: 0),
     source_size and target. segments: a row for each block that a slot takes of a document:
-    shard, s, slot, start of the document, and the words ``low`` to ``high`` (exclusive) of the document. A
+    shard, s, slot, block, epoch, start of the document, and the words ``low`` to ``high`` (exclusive) of the document. A
     document without words gives nothing; repeated rows are documents of their own; ties in
     order are between equal rows. Reruns give the same mix.
     """
@@ -196,7 +197,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         drawn.withColumn("from", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(step))))
         .repartition(max(1, min(shards, 512)), "shard", "s", "from")
         .select("shard", "s", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step - 1, F.col("first") + F.col("n") - 1))).alias("slot"))
-        .mapInArrow(lambda it: _mapped(it, sizes, seeds, block), "shard int, s int, slot long, block long")
+        .mapInArrow(lambda it: _mapped(it, sizes, seeds, block), "shard int, s int, slot long, block long, epoch long")
     )
     # the last slot of a source gives only as many words as its target still lacks
     ends = known.select(F.col("s").alias("e"), (F.col("slots") - 1).alias("end"), "last")
@@ -205,7 +206,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         .join(F.broadcast(ends), F.col("s") == F.col("e"))
         .withColumn("high", F.when(F.col("slot") == F.col("end"), F.least("high", F.col("block") * block + F.col("last") - F.col("start"))).otherwise(F.col("high")))
         .where("high > low")
-        .select("shard", "s", "slot", "block", "start", "low", "high")
+        .select("shard", "s", "slot", "block", "epoch", "start", "low", "high")
     )
     return Mix(documents, segments)
 
@@ -219,3 +220,42 @@ def taken(docs: DataFrame, **options) -> DataFrame:
         .join(sums, ["s", "start", "some"], "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of column 1 that the ranges of column 2 name, in the text's own spacing where they adjoin."""
+    for batch in batches:
+        ranges = batch.column(2).to_pylist()
+        for first, end, raw, at in slices(batch.column(1)):
+            start, stop, index = word_bounds(raw, at)
+            texts = []
+            for i in range(end - first):
+                own, most, joined = index[i], int(index[i + 1] - index[i]), []
+                for r in ranges[first + i]:
+                    if joined and joined[-1][1] == r["low"]:
+                        joined[-1][1] = r["high"]
+                    else:
+                        joined.append([r["low"], r["high"]])
+                cuts = (raw[at[i] if low == 0 else start[own + low] : at[i + 1] if high == most else stop[own + high - 1]] for low, high in joined)
+                texts.append(b"\n".join(c.tobytes() for c in cuts).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(texts, pa.string())], ["row", "text"])
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each document and time that words of it are taken.
+
+    text holds those words, in the text's own spacing, and n_chars, if there is one, its length;
+    the other columns are the document's. What nothing is taken of has no row.
+    """
+    made = plan(docs, **options)
+    parts = made.segments.groupBy("s", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("parts"))
+    chosen = made.documents.where("size > 0").join(parts, ["s", "start"]).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "parts")
+    columns = docs.columns
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), content_key(docs).alias("_hash"), F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns) if c != "text")).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.dropDuplicates(["_id", "_hash"])  # equal rows have a row of ``chosen`` each
+    joined = chosen.join(rows, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash"))).select("row", "text", "parts")
+    cut = joined.mapInArrow(_cut, f"row {joined.schema['row'].dataType.simpleString()}, text string")
+    value = {c: F.col(f"row.c{i}") for i, c in enumerate(columns) if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in value:
+        value["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(value[c].alias(c) for c in columns))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm import blob_ledger, mixing
 from tidepanel.llm.bpe_dp import encode
 from tidepanel.llm.common import materialize, ready, table
+from tidepanel.llm.interp_lm import score_texts
 from tidepanel.llm.langid_ecoc import identify
 from tidepanel.llm.quality_llr import quality
 from tidepanel.llm.range_join import range_join
@@ -45,6 +46,10 @@ def op6_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_interp_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archive_index(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "stamp")
@@ -66,6 +71,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op4_superminhash,
     op5_quality_llr,
     op6_langid_ecoc,
+    op7_interp_lm,
     op8_warc_index,
     op9_bpe_dp,
     op10_mixing,
