@@ -1,15 +1,74 @@
-"""A pipeline from raw documents to token ids (stages are added as their operators are)."""
+"""From raw documents to token ids: language, near-duplicates, secrets, mix, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that the next one works on;
+all but the last return the columns of its input. The stages' results are written between them by whoever runs
+them one by one; run() applies all to the documents of a folder.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepanel.llm import blob_ledger, mixing
+from tidepanel.llm.bpe_dp import encode
+from tidepanel.llm.common import materialize, ready
+from tidepanel.llm.langid_ecoc import identify
+from tidepanel.llm.superminhash import near_duplicates
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a clear language: ``und``, or too small a gap between codewords."""
+    ready(spark)
+    return identify(docs, carry=docs.columns).where(~F.col("ambiguous")).select(*(f"carried.{c}" for c in docs.columns))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates; one row of repeated ones. Null ids stay."""
+    ready(spark)
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+    one = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return one.union(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret found in a text by a mark; all documents stay."""
+    ready(spark)
+    ledger = materialize(blob_ledger.scan(docs, blob_ledger.empty_ledger(spark)))
+    clean = blob_ledger.findings(docs, ledger).withColumn("text", blob_ledger.redact(F.col("text"), F.col("spans")))
+    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take from each source the words that its target weight gives it, some of them twice."""
+    ready(spark)
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with digests of them and of what they decode to."""
+    ready(spark)
+    coded = encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", deduplicate),
+    ("secret scans", secrets),
+    ("mixing to target weights", mix),
+    ("BPE encoding and decoding", tokens),
+]
 
-STAGES: list = []
+#: Not expressible in SQL: language ID is learned and the mix is drawn.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs)
     return docs
