@@ -155,7 +155,7 @@ def identify(docs: DataFrame, parts: int = 4, held: int = 2, ambiguous: float =
     Reads doc_id, text and lang of ``docs``; learns only from text and non-null lang of rows with
     crc32(doc_id as text) mod ``parts`` not ``held``. Returns doc_id, held_out (false for a null
     doc_id), lang_pred, score (0 to 1) and ambiguous (lang_pred is ``und`` or the score is low), a
-    row for each row, and the columns of ``carry`` as they are. A text that is null or without a letter, and every text if nothing
+    row for each row, and carried, a struct of the columns of ``carry`` as they are. A text that is null or without a letter, and every text if nothing
     could be learned, is ``und`` with score 0. Other columns are ignored; repeated rows are kept.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, parts, held))
@@ -169,5 +169,5 @@ def identify(docs: DataFrame, parts: int = 4, held: int = 2, ambiguous: float =
         "lang_pred",
         "score",
         ((F.col("lang_pred") == "und") | (F.col("score") < ambiguous)).alias("ambiguous"),
-        *(F.col(f"row._{i}").alias(c) for i, c in enumerate(carry)),
+        *([F.struct(*(F.col(f"row._{i}").alias(c) for i, c in enumerate(carry))).alias("carried")] if carry else []),
     )
