@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import crc_fold, shared_dir
-from tidepanel.llm.textkernel import mix, text_bytes, word_bounds, word_hashes
+from tidepanel.llm.textkernel import mix, slices, word_bounds, word_hashes
 
 _U = np.uint64
 #: Bytes of text in a block; bits of an n-gram's hash that choose its range, at most.
@@ -46,15 +46,19 @@ class _Text:
     """Tokens of some documents: distinct ones and distinct pairs, sorted, and where each token is among them."""
 
     def __init__(self, texts: pa.ChunkedArray) -> None:
-        raw, at = text_bytes(texts)
-        start, end, first = word_bounds(raw, at)
-        rows = np.arange(len(at) - 1)
-        self.first = first + np.arange(len(first))  # a token more for each document before: its end
-        token = np.empty(len(start) + len(rows), _U)
+        words, counts = [], []
+        for _, _, raw, at in slices(texts):
+            start, end, first = word_bounds(raw, at)
+            words.append(word_hashes(raw, start, end, lower=True))
+            counts.append(np.diff(first))
+        counts = np.concatenate(counts) + 1  # each document's words and its end
+        rows = np.arange(len(counts))
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        token = np.empty(int(counts.sum()), _U)
         ends = self.first[1:] - 1
         inner = np.ones(len(token), bool)
         inner[ends] = False
-        token[inner], token[ends] = word_hashes(raw, start, end, lower=True), _END
+        token[inner], token[ends] = np.concatenate(words), _END
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[self.first[:-1]] = _BEGIN
@@ -70,11 +74,28 @@ def _cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    return counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<u8").tobytes()
+    """Counts as single bytes; those that need more follow, in the same manner, as 4 and then as 8 bytes."""
+    found, rest = [], counts
+    for kind in ("<u1", "<u4"):
+        most = np.iinfo(kind).max
+        found.append(np.minimum(rest, most).astype(kind).tobytes())
+        rest = rest[rest >= most]
+    return b"".join([*found, rest.astype("<u8").tobytes()])
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u8").astype(np.int64)
+    found, at, levels = [], 0, n
+    for kind in ("<u1", "<u4"):
+        part = np.frombuffer(data, kind, levels, at)
+        found.append(part)
+        at += part.nbytes
+        levels = int((part == np.iinfo(kind).max).sum())
+    value = np.frombuffer(data, "<u8", levels, at).astype(np.int64)
+    for part in found[::-1]:
+        out = part.astype(np.int64)
+        out[part == np.iinfo(part.dtype).max] = value
+        value = out
+    return value
 
 
 def _ask(docs: pa.Table, bits: int) -> pa.Table:

@@ -75,7 +75,7 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
         keep = open_sets[owner]
         element, owner = element[keep], owner[keep]
         if order is None:
-            order = np.tile(np.arange(m, dtype=np.uint16), (len(element), 1))
+            order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(element), 1))
             row, pick = np.arange(len(element)), pick[keep]
             order[row, pick] = 0
             order[row, 0] = pick
