@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to a Python worker at once, at most.
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
@@ -36,11 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import this package, whatever folder they start in."""
+    """Let Python workers on this machine import this package, whatever folder they start in, and send them short batches."""
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = ":".join(filter(None, [root, known.get("PYTHONPATH", "")]))
+    # texts are long: fewer of them in a batch keep workers and their buffers small
+    if int(spark.conf.get(BATCH_ROWS)) > ROWS:
+        spark.conf.set(BATCH_ROWS, ROWS)
     return spark
 
 

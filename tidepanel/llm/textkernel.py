@@ -21,7 +21,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Bytes of text that one array pass works on; longer texts are passes of their own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _byte_values: dict[bool, np.ndarray] = {}
 _powers = [np.ones(1, _U), np.ones(1, _U)]
