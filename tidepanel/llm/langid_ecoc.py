@@ -23,7 +23,7 @@ from tidepanel.llm.textkernel import slices
 FEATURES = 4096
 #: Labelled documents of a language that the classifiers are fitted on, and languages, at most.
 #: All languages together get at most FIT_ROWS documents.
-PER_LANGUAGE, LANGUAGES, FIT_ROWS = 500, 200, 3000
+PER_LANGUAGE, LANGUAGES, FIT_ROWS = 400, 200, 2000
 #: Strength of the ridge penalty.
 RIDGE = 0.3
 #: A document is ambiguous if its score is below.
@@ -86,18 +86,21 @@ def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
+    """Ridge classifiers of the codewords' bits, every language weighing the same. ``x`` is overwritten."""
+
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray) -> None:
         self.languages = languages
         self.code = codewords(len(languages))
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(FEATURES)
-        centred = x - self.mean
-        goal = self.code[y] if len(x) else np.zeros((0, self.code.shape[1]))
-        # every language weighs the same
-        weight = np.sqrt(len(y) / len(languages) / np.bincount(y, minlength=len(languages))[y])[:, None] if len(x) else np.zeros((0, 1))
-        self.shift = np.average(goal, axis=0, weights=weight[:, 0] ** 2) if len(x) else np.zeros(self.code.shape[1])
-        a, b = centred * weight, (goal - self.shift) * weight
-        self.w = a.T @ np.linalg.solve(a @ a.T + RIDGE * np.eye(len(a)), b) if len(x) else np.zeros((FEATURES, self.code.shape[1]))
-        self.shift = self.shift - self.mean @ self.w
+        self.w, self.shift = np.zeros((FEATURES, self.code.shape[1])), np.zeros(self.code.shape[1])
+        if not len(x):
+            return
+        mean, goal = x.mean(axis=0), self.code[y]
+        weight = np.sqrt(len(y) / len(languages) / np.bincount(y, minlength=len(languages))[y])[:, None]
+        level = np.average(goal, axis=0, weights=weight[:, 0] ** 2)
+        x -= mean
+        x *= weight
+        self.w = x.T @ np.linalg.solve(x @ x.T + RIDGE * np.eye(len(x)), (goal - level) * weight)
+        self.shift = level - mean @ self.w
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the chosen language, score): loss-weighted decoding."""
@@ -123,13 +126,12 @@ def fit(docs: DataFrame, parts: int = 4, held: int = 2) -> Model:
     cut = F.create_map(*(v for k in languages for v in (F.lit(k), F.lit(int(min(1.0, (most + 6 * math.sqrt(most) + 6) / sizes[k]) * top)))))
     chosen = rows.where((F.pmod(F.xxhash64("d"), F.lit(top)) < F.coalesce(cut[F.col("lang")], F.lit(0))))
     got = chosen.select("lang", "text", F.xxhash64("d").alias("h")).mapInArrow(lambda it: _sampled(pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["lang", "text"]) for b in it), "lang string, x binary").toArrow()
-    kept: dict[str, list[bytes]] = {}
-    for lang, x in sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True)):
-        if len(kept.setdefault(lang, [])) < most:
-            kept[lang].append(x)
-    x = np.array([np.frombuffer(v, "<f4") for k in languages for v in kept.get(k, [])], float).reshape(-1, FEATURES)
-    y = np.array([i for i, k in enumerate(languages) for _ in kept.get(k, [])], int)
-    return Model(languages, x, y)
+    x, y = np.empty((most * len(languages), FEATURES)), []
+    for lang, features_ in sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True)):
+        if y.count(k := languages.index(lang)) < most:
+            x[len(y)] = np.frombuffer(features_, "<f4")
+            y.append(k)
+    return Model(languages, x[: len(y)], np.array(y, int))
 
 
 def _predicted(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
