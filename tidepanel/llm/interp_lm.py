@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ BUCKETS, BINS, ROUNDS = 16, 8, 60
 #: Least weight of the uniform estimate.
 LEAST = 1e-4
 
+#: Bytes of a hash that are sent, of tokens and of pairs; its leading bits are known from the range.
+_WIDTH = (7, 6)
 _BEGIN, _END = _U(0x6A09E667F3BCC909), _U(0xBB67AE8584CAA73B)
 _STREAM = "block long, doc_id long, fold int, n_tokens long, n_known long, tokens binary, pairs binary, fold_tokens binary, fold_pairs binary, ends long, fold_ends long, v long, n long"
 _STREAM_NAMES = [c.split(" ")[0] for c in _STREAM.split(", ")]
@@ -73,24 +76,30 @@ def _cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return [(int(parts[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+#: Widths of counts, each for those that do not fit the one before.
+_WIDTHS = ("<u1", "<u2", "<u4", "<u8")
+
+
 def _narrow(counts: np.ndarray) -> bytes:
-    """Counts as single bytes; those that need more follow, in the same manner, as 4 and then as 8 bytes."""
+    """Counts as single bytes; the full byte stands for those that follow as 2, then as 4, then as 8 bytes. Bytes of
+    equal weight stand together, which compresses well."""
     found, rest = [], counts
-    for kind in ("<u1", "<u4"):
-        most = np.iinfo(kind).max
-        found.append(np.minimum(rest, most).astype(kind).tobytes())
+    for kind in _WIDTHS:
+        most = min(np.iinfo(kind).max, np.iinfo(np.int64).max)
+        found.append(np.minimum(rest, most).astype(kind).view(np.uint8).reshape(len(rest), np.dtype(kind).itemsize).T.tobytes())
         rest = rest[rest >= most]
-    return b"".join([*found, rest.astype("<u8").tobytes()])
+    return b"".join(found)
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:
-    found, at, levels = [], 0, n
-    for kind in ("<u1", "<u4"):
-        part = np.frombuffer(data, kind, levels, at)
+    found, at = [], 0
+    for kind in _WIDTHS:
+        size = np.dtype(kind).itemsize
+        part = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
         found.append(part)
-        at += part.nbytes
-        levels = int((part == np.iinfo(kind).max).sum())
-    value = np.frombuffer(data, "<u8", levels, at).astype(np.int64)
+        at += n * size
+        n = int((part == np.iinfo(kind).max).sum())
+    value = np.zeros(0, np.int64)
     for part in found[::-1]:
         out = part.astype(np.int64)
         out[part == np.iinfo(part.dtype).max] = value
@@ -98,8 +107,16 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return value
 
 
+def _pressed(counts: np.ndarray) -> bytes:
+    return zlib.compress(_narrow(counts), 1)
+
+
+def _freed(data: bytes, n: int) -> np.ndarray:
+    return _wide(zlib.decompress(data), n)
+
+
 def _ask(docs: pa.Table, bits: int) -> pa.Table:
-    """Requests of a block. Pairs send 48 bits besides those of their range, tokens all 64."""
+    """Requests of a block. Tokens send 56 bits, pairs 48, besides those of their range."""
     rows: list[list] = [[] for _ in range(6)]
     if len(docs):
         text = _Text(docs["text"])
@@ -107,9 +124,9 @@ def _ask(docs: pa.Table, bits: int) -> pa.Table:
         for kind, (keys, where) in enumerate(text.keys):
             train = np.bincount(where, fold != _NOT_HELD, len(keys)).astype(np.int64)
             learn = np.bincount(where, fold == _LEARN, len(keys)).astype(np.int64)
-            raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 6 if kind else 8]
+            raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _WIDTH[kind]]
             for part, a, b in _cut(keys, bits):
-                for column, value in zip(rows, (docs["block"][0].as_py(), kind, part, raw[a:b].tobytes(), _narrow(train[a:b]), _narrow(learn[a:b])), strict=True):
+                for column, value in zip(rows, (docs["block"][0].as_py(), kind, part, raw[a:b].tobytes(), _pressed(train[a:b]), _pressed(learn[a:b])), strict=True):
                     column.append(value)
     return pa.table([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "kind", "part", "keys", "train", "learn"])
 
@@ -117,7 +134,7 @@ def _ask(docs: pa.Table, bits: int) -> pa.Table:
 def _answer(asked: pa.Table) -> pa.Table:
     """Sums of a range, for each block in the order it asked in; for tokens a row of totals, too."""
     kind = asked["kind"][0].as_py()
-    width = 6 if kind else 8
+    width = _WIDTH[kind]
     parts = [np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, width) for k in asked["keys"]]
     sizes = [len(p) for p in parts]
     padded = np.zeros((sum(sizes), 8), np.uint8)
@@ -125,10 +142,10 @@ def _answer(asked: pa.Table) -> pa.Table:
     keys, where = np.unique(padded.view("<u8").ravel(), return_inverse=True)
     found = []
     for name in ("train", "learn"):
-        counts = np.concatenate([_wide(c.as_py(), n) for c, n in zip(asked[name], sizes, strict=True)])
+        counts = np.concatenate([_freed(c.as_py(), n) for c, n in zip(asked[name], sizes, strict=True)])
         found.append(np.bincount(where, counts, len(keys)).astype(np.int64))
     ends = np.cumsum(sizes)
-    out = [[_narrow(total[where[e - n : e]]) for e, n in zip(ends, sizes, strict=True)] for total in found]
+    out = [[_pressed(total[where[e - n : e]]) for e, n in zip(ends, sizes, strict=True)] for total in found]
     block, v, n = asked["block"].to_pylist(), [0] * len(sizes), [0] * len(sizes)
     if not kind:
         block, v, n = [*block, -1], [*v, int((found[0] > 0).sum())], [*n, int(found[0].sum())]
@@ -156,7 +173,7 @@ def _stream(docs: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
         for name in ("train", "learn"):
             row = []
             for kind, (keys, where) in enumerate(text.keys):
-                total = np.concatenate([_wide(answers[name][at[kind, part]].as_py(), b - a) for part, a, b in _cut(keys, bits)])
+                total = np.concatenate([_freed(answers[name][at[kind, part]].as_py(), b - a) for part, a, b in _cut(keys, bits)])
                 if not kind:
                     ends.append(int(total[end]))
                 row.append(total[where])
