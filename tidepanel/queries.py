@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.plans import cross, features, research  # noqa: F401
+from tidepanel.plans import cross, features, research, trading  # noqa: F401
 from tidepanel.registry import ORACLES, QUERIES
 
 
