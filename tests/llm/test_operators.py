@@ -1,0 +1,383 @@
+"""The ten operators on small tables, against brute force, round trips and held-out labels."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidepanel.llm import blob_ledger, interp_lm, langid_ecoc, mixing, quality_llr, range_join, superminhash, template_ec, warc_index
+from tidepanel.llm.bpe_dp import Encoder, encode
+from tidepanel.llm.common import materialize, ready
+
+SPLIT = re.compile("[\x20\x09-\x0d]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def words(text, lower=False):
+    text = text or ""
+    return [w for w in SPLIT.split(text.translate(LOWER) if lower else text) if w]
+
+
+def prose(rng, n, stems="abcdefgh"):
+    return " ".join("".join(rng.choice(stems) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, copies, odd white space, clashing columns."""
+    ready(spark)
+    rng = random.Random(5)
+    base = prose(rng, 80)
+    near = [" ".join("zz" if i % 30 == k else w for i, w in enumerate(base.split())) for k in range(6)]
+    texts = [None, "", " \t\n", "one", "One two", "one two", base, base.upper(), base.replace(" ", "\n\x0b "), *near, prose(rng, 300), prose(rng, 20_000), "é ß 日本 ünïcode <|endoftext|> x", base, "x" * 50_000]
+    texts += [prose(rng, rng.randrange(5, 120), "abcdefgh" if k % 2 else "stuvwxyz") for k in range(40)]
+    rows = [(i, t, ("en" if i % 2 else "xx") if i % 5 else None, None if i % 7 == 0 else f"s{i % 3}", None if i % 6 == 0 else i) for i, t in enumerate(texts)]
+    rows += [rows[6], rows[6], (None, base, None, None, None), (None, None, "en", "s1", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {n: F.lit(n) for n in ("id", "key", "block", "size", "row", "spans", "bands", "component", "band", "s", "start", "fold", "blob", "rules", "_id", "w", "page_id", "label", "n")}
+    return df.withColumns(clash).cache()
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text, r.lang, r.source) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+
+
+def components(items, linked):
+    parent = {i: i for i in items}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in items}
+
+
+def shingles(text):
+    w = words(text, True)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_near_duplicates_equal_brute_force(docs):
+    sets = {i: shingles(t) for i, t, *_ in rows_of(docs) if i is not None}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(sets, linked)
+    got = superminhash.near_duplicates(docs).collect()
+    assert len(got) == docs.count()
+    assert len({want[i] for i in want}) < len(want) - 3
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept is None
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+
+
+def test_near_duplicates_at_the_threshold_and_in_large_buckets(spark):
+    """Chains of copies whose neighbours are linked and whose ends are not; buckets beyond a block."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(64)]
+    rows = []
+    for chain in range(4):
+        text = list(base)
+        for step in range(12):
+            rows.append((len(rows) * 3 + chain, " ".join(text)))
+            at = (step * 5) % 60
+            text[at] = f"c{chain}s{step}"
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(sets, linked)
+    for block in (4, 2048):
+        got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_superminhash_estimates_similarity_and_stops_early():
+    rng = np.random.default_rng(1)
+    errors = []
+    for _ in range(30):
+        both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (150, 50, 50))
+        x, y = superminhash.signatures([np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))], 96)
+        errors.append((x == y).mean() - 0.6)
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
+    one = superminhash.signatures([np.array([7], np.uint64), np.zeros(0, np.uint64)], 16)
+    assert len(np.unique(one[0])) == 16 and (one[1] == ~np.uint64(0)).all()
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_range_join_equals_brute_force(spark, block):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(160):
+        v = rng.normal(size=8) if i % 4 == 0 or not rows else np.array([x or 0.1 for x in rows[rng.integers(len(rows))][1]]) + rng.normal(size=8) * rng.choice([0, 0.05, 0.25])
+        rows.append((i, [float(x) for x in v], int(rng.integers(2))))
+    rows += [(1000, None, 1), (1001, [0.0] * 8, 1), (1002, [float("nan")] + [1.0] * 7, 1), (1003, [None] + [1.0] * 7, 0), (1004, rows[0][1], None), (1005, rows[0][1], rows[0][2]), (1005, rows[0][1], rows[0][2]), (1006, [], 0), (1007, [float("inf")] * 8, 0), (None, rows[0][1], rows[0][2]), (1008, [1.0, 2.0], 1)]
+    valid = [(i, np.array(v) / np.linalg.norm(v), k) for i, v, k in rows if i is not None and k is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    links = collections.Counter()
+    linked = []
+    for (i, v, k), (j, u, m) in itertools.combinations(valid, 2):
+        if k == m and len(v) == len(u) and v @ u >= 0.93:
+            links[i] += 1
+            links[j] += 1
+            linked.append((i, j))
+    want = components([r[0] for r in rows if r[0] is not None], linked)
+    links[1005] //= 2  # the repeated row counted both
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("cell", F.lit(1))
+    got = range_join.range_join(df, block=block, per_pivot=20).collect()
+    assert len(got) == len(rows) and len(linked) > 100
+    for r in got:
+        if r.vec_id is None:
+            assert r.n_links is None and r.component_id is None
+        else:
+            assert (r.n_links, r.component_id, r.kept) == (links[r.vec_id], want[r.vec_id], want[r.vec_id] == r.vec_id), r
+
+
+def test_ledger_scans_only_what_is_new(spark, docs):
+    texts = ["", "token=secret:abcdefgh1", "pässword: 'ABCDEFGH12' 😀 PassWord = \"abcdefgh\"", "AKIA" + "B" * 12 + " " + "a" * 32, "secret=short", "-----BEGIN RSA PRIVATE KEY-----", "apikey:abcdefghi api_key : zyxwvuts" + "x" * 40_000]
+    first = spark.createDataFrame(list(enumerate(texts)) + [(50, None), (51, texts[3]), (51, texts[3])], "doc_id long, text string")
+    ledger = materialize(blob_ledger.scan(first, blob_ledger.empty_ledger(spark)))
+    assert ledger.count() == len(texts) * len(blob_ledger.RULES)
+    assert blob_ledger.scan(first, ledger).count() == 0
+    more = first.union(spark.createDataFrame([(60, "passwd=abcdefgh"), (61, texts[3])], first.schema))
+    assert blob_ledger.scan(more, ledger).count() == len(blob_ledger.RULES)
+    newer = (*blob_ledger.RULES[:1], blob_ledger.Rule("access", 2, "AKIA[A-Z0-9]{12,}"), *blob_ledger.RULES[2:])
+    assert blob_ledger.scan(first, ledger, newer).count() == len(texts)
+    got = {r.doc_id: r for r in blob_ledger.digest(blob_ledger.findings(first, ledger)).collect()}
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for i, text in [*enumerate(texts), (50, ""), (51, texts[3])]:
+        spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        line = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
+    assert got[5].spans == "pem:0:31"
+    clean = blob_ledger.findings(first, ledger).select("doc_id", blob_ledger.redact(F.col("text"), F.col("spans")).alias("t"), "text", "spans").collect()
+    assert all(r.t == r.text if not r.spans else "[secret]" in r.t and "abcdefgh" not in r.t.split("[secret]")[0] for r in clean)
+    wide = blob_ledger.findings(docs, materialize(blob_ledger.scan(docs, blob_ledger.empty_ledger(spark))))
+    assert wide.count() == docs.count() and set(wide.columns) == set(docs.columns)
+
+
+def test_quality_counts_equal_brute_force_and_junk_goes(spark, docs):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 50)] + [(None, 1, 0), (3, None, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality_llr.quality(docs, labels).collect()
+    assert len(got) == docs.count()
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    for i, text, *_ in rows_of(docs):
+        if i is None:
+            continue
+        w, text = words(text), text or ""
+        lines = [x for x in text.split("\n") if SPLIT.sub("", x)]
+        windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k for j in range(len(w) - 2) if windows[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)}
+        r = by[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert not (r.kept and r.base_failed)
+    rng = random.Random(1)
+    good = [(i, prose(rng, 100), None) for i in range(60)]
+    junk = [(i, prose(rng, 100).upper() + " !!! $$$", None) for i in range(60, 80)]
+    found = quality_llr.quality(spark.createDataFrame(good + junk, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).collect()
+    assert sum(r.kept for r in found if r.doc_id < 60) >= 58 and not any(r.kept for r in found if r.doc_id >= 60)
+
+
+def test_languages_are_told_apart_on_held_out_documents(spark, docs):
+    rng = random.Random(4)
+    stems = {"aa": "abcdeg", "bb": "mnopqr", "cc": "stuvwx", "dd": "äöüßef"}
+    rows = [(i, prose(rng, 40, stems[k]), k) for i, k in enumerate(list(stems) * 60)] + [(900, None, "aa"), (901, "12 345 --", "bb"), (902, "", None), (903, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid_ecoc.identify(df).collect()}
+    held = [(i, k) for i, t, k in rows if i < 900 and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    assert sum(got[i].lang_pred == k for i, k in held) >= 0.97 * len(held) and len(held) > 20
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[900].score == 0 and got[900].ambiguous
+    assert all(0 <= r.score <= 1 for r in got.values())
+    wide = langid_ecoc.identify(docs, carry=docs.columns)
+    assert wide.count() == docs.count() and {r.lang_pred for r in wide.collect()} <= {"en", "xx", "und"}
+    code = langid_ecoc.codewords(20)
+    assert (np.abs(code @ code.T - np.diag(np.diag(code @ code.T))).max() < code.shape[1] * 0.6) and len(np.unique(code, axis=0)) == 20
+
+
+@pytest.mark.parametrize("block_bytes", [2000, 1 << 23])
+def test_language_model(spark, docs, block_bytes):
+    got = interp_lm.score_texts(docs, block_bytes=block_bytes).collect()
+    assert len(got) == docs.count()
+    rows = [(i, words(t, True)) for i, t, *_ in rows_of(docs)]
+    trains = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2
+    counts, pairs = collections.Counter(), collections.Counter()
+    for i, w in rows:
+        if trains(i):
+            counts.update([*w, 0])
+            pairs.update(zip([1, *w], [*w, 0], strict=True))
+    n, v = sum(counts.values()), len(counts)
+    want = collections.defaultdict(list)
+    for i, w in rows:
+        want[i].append((len(w) + 1, sum(counts[x] > 0 for x in [*w, 0]), sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in [*w, 0])))
+    for r in got:
+        assert any((r.n_tokens, r.n_known) == k[:2] and r.base_score == pytest.approx(k[2], rel=1e-9) for k in want[r.doc_id])
+        assert r.train_tokens == n and r.score < 0 and r.held_out == (r.doc_id is not None and not trains(r.doc_id))
+    # every conditional distribution of the mixture adds up to 1 at most, known words and one unknown
+    weights = interp_lm.learn_weights(np.array([[3, 1, 20, 5], [3, 0, 30, 5], [5, 9, 25, 7]]), 1 / (v + 1))
+    assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 2] >= interp_lm.LEAST / 2).all()
+
+
+def test_counts_survive_their_coding():
+    for row in ([], [0], [1, 254, 255, 256, 65535, 2**32 - 1, 2**40], list(range(300))):
+        a = np.array(row, np.int64)
+        assert (interp_lm._wide(interp_lm._narrow(a), len(a)) == a).all()
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    big = "<p>" + "long " * 30_000 + "</p>"
+    same = "<html><body><article><p>" + "same text " * 150 + "</p></article></body></html>"
+    rows = [(i, f"https://www.h{i % 3}.example.com/a/{i}?q=1", f"<html><head><title>t</title></head><body><nav>menu</nav><article><h1>T{i}</h1><p>Share this</p><p>body &amp; {i}<br>x</p></article><footer>f</footer></body></html>") for i in range(20)]
+    rows += [(100, "https://h.example.com/x", same), (101, "https://h.example.com/y", same), (102, None, same), (103, "bad url\r\nX: y", same), (104, "https://h.example.com/x", None), (105, "", ""), (106, "https://h.example.com/z", big), (107, "https://h.example.com/z", "é" * 10), (101, "https://h.example.com/y", same), (None, "https://h.example.com/n", same)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "piece": F.lit(2), "value": F.lit("v"), "digest": F.lit("d")}).cache()
+
+
+def test_main_text(spark, pages):
+    got = {r.page_id: r for r in template_ec.main_text(pages).collect()}
+    assert template_ec.main_text(pages).count() == pages.count()
+    for i in range(20):
+        assert got[i].text in (f"T{i} body & {i} x", f"T{i} Share this body & {i} x") and got[i].n_chars == len(got[i].text)
+    assert any(got[i].text == f"T{i} body & {i} x" for i in range(20))  # the shared notice is template on hosts with enough pages
+    assert got[104].text == "" and got[105].text == "" and got[106].n_chars == 30_000 * 5 - 1
+    assert got[100].text == ("same text " * 150).strip() == got[102].text
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article>a<script>var x='</article>'</script>b</article>", "ab"),
+        ('<div class="cookie-notice">no</div><main><p>Yes <b>bo</b>ld</p><div class=comments>no</div><form>no</form><aside>n</aside></main>', "Yes bold"),
+        ("<article><header><h1>T</h1></header><p>a<p>b</article><footer>f", "T a b"),
+        ('<ul class=menu><li>a<li>b</ul><div><p title="a>b">text &eacute;&#8364; &lt;x&gt;', "text é€ <x>"),
+        ("<article><p class='ad'>x<p>y\n\t z</article>", "y z"),
+        ("<!-- <article>no</article> --><p>yes", "yes"),
+        ("<article><p>unfinished <b>te", "unfinished te"),
+        ("<article><p>cut <a hre", "cut"),
+        ("", ""),
+        ("<" * 5000, "<" * 5000),
+    ],
+)
+def test_broken_and_odd_markup(source, text):
+    assert template_ec.extract([source], ["/"]) == [text]
+
+
+def test_template_nests_repeated_classes():
+    pages = [["<ul>", *["<li>", "</li>"] * n, "</ul>", "<p>", f"text {n}", "</p>"] for n in (2, 3, 4, 5)]
+    t = template_ec.deduce(pages)
+    assert t.tokens == ["<ul>", "</ul>", "<p>", "</p>"]
+    assert [n.tokens for n in t.nested[1]] == [["<li>", "</li>"]]
+
+
+def test_warc_round_trip(spark, pages, tmp_path):
+    got = warc_index.archive_index(pages, str(tmp_path / "w")).collect()
+    assert len(got) == pages.count()
+    rows = [(r.page_id, (r.html or "").encode()) for r in pages.select("page_id", "html").collect()]
+    first = {}
+    for i, p in rows:
+        if i is not None and len(p) >= 1000:
+            first[p] = max(first.get(p, i), i)
+    want = {(i, len(p), hashlib.sha1(p).hexdigest(), *(("revisit", first[p]) if i is not None and len(p) >= 1000 and i != first[p] else ("response", None))) for i, p in rows}
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
+    order = [(r.urlkey, r.stamp, r.page_id is None, r.page_id or 0) for r in got]
+    assert order == sorted(order)
+    assert any(r.record_type == "revisit" for r in got)
+
+
+def test_loser_tree_merges_any_runs():
+    rng = random.Random(8)
+    for k in range(12):
+        runs = [sorted(rng.randrange(9) for _ in range(rng.randrange(7))) for _ in range(k)]
+        assert list(warc_index.loser_tree(runs, key=lambda x: x)) == sorted(itertools.chain(*runs))
+
+
+def test_encoding_equals_the_library(spark, docs):
+    public = pytest.importorskip("public_tokenizers")
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    mine = Encoder(public.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "'s", "'", "é", "ß", "1", "23", "!", "日本", "😀", "aaaa", "\x1c", "\x85", " ", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)] + ["a" * 3000, " " * 2000, "=" * 1500]
+    texts += ["".join(map(chr, range(k, k + 97))) for k in [*range(0, 0xD700, 97), *range(0xE000, 0x1F800, 97)]]
+    for text in texts:
+        ids = np.frombuffer(mine.encode(text), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)
+        assert mine.decode(mine.encode(text)) == text
+    got = encode(docs, public.path("byte_bpe_50k.json")).collect()
+    assert collections.Counter((r.doc_id, r.decoded) for r in got) == collections.Counter((i, t or "") for i, t, *_ in rows_of(docs))
+    assert all(r.n_tokens * 4 == len(r.ids) for r in got)
+
+
+def test_mix(spark, docs):
+    got = mixing.taken(docs).collect()
+    assert len(got) == docs.count()
+    sizes = collections.Counter()
+    for _, t, _, source in rows_of(docs):
+        sizes[source] += len(words(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(order, mixing.targets([sizes[s] for s in order]), strict=True))
+    assert sum(goal.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert all(goal[s] <= 2 * sizes[s] + 1e-9 for s in order)
+    by_target = collections.Counter()
+    for r in got:
+        assert r.taken <= 2 * r.size
+        by_target[round(r.target, 6)] += r.taken
+    assert by_target == {round(goal[s], 6): round(goal[s]) for s in order}
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.taken(docs.repartition(7)).collect()))
+    texts = mixing.mixed(docs)
+    assert texts.columns == docs.columns
+    per = collections.Counter()
+    whole = {(i, w) for i, t, *_ in rows_of(docs) for w in words(t)}
+    for r in texts.collect():
+        per[r.source] += len(words(r.text))
+        assert all((r.doc_id, w) in whole for w in words(r.text)) and r.n_chars == len(r.text)
+    assert dict(per) == {s: round(goal[s]) for s in order if round(goal[s])}
+
+
+def test_permutations_and_slots():
+    for n in (1, 2, 3, 17, 64, 100, 1000):
+        p = mixing.permuted(np.arange(n), n, 3)
+        assert sorted(p) == list(range(n)) and (mixing.permuted(p, n, 3, inverse=True) == np.arange(n)).all()
+    for size in (1, 63, 64, 65, 1000, 1037):
+        blocks = -(-size // 64)
+        places = mixing.permuted(np.arange(blocks), blocks, 7)
+        length = lambda b, size=size: min(64, size - 64 * b)
+        for target in range(0, 2 * size + 1, max(1, size // 41)):
+            n, last = mixing._slots(size, target, 7, 64)
+            assert sum(length(int(places[k % blocks])) for k in range(n - 1)) + (last if n else 0) == target and n <= 2 * blocks
+            assert not n or last <= length(int(places[(n - 1) % blocks]))
+    assert mixing.targets([10, 10, 10]) == pytest.approx([20, 25 / 3, 50 / 3])
+    assert mixing.targets([]) == [] and mixing.targets([0, 5]) == pytest.approx([0, 7.5])
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, page_id long, url string, html string, vec_id long, embedding array<float>, label int, quality int")
+    public = pytest.importorskip("public_tokenizers")
+    made = [
+        template_ec.main_text(none),
+        blob_ledger.digest(blob_ledger.findings(none, blob_ledger.scan(none, blob_ledger.empty_ledger(spark)))),
+        range_join.range_join(none),
+        superminhash.near_duplicates(none),
+        quality_llr.quality(none, none),
+        langid_ecoc.identify(none),
+        interp_lm.score_texts(none),
+        warc_index.archive_index(none),
+        encode(none, public.path("byte_bpe_50k.json")),
+        mixing.taken(none),
+        mixing.mixed(none),
+    ]
+    assert [df.count() for df in made] == [0] * len(made)

@@ -137,11 +137,6 @@ class Encoder:
         parts = self.added_pattern.split(text)
         return b"".join(self.added[p] if p in self.added else b"".join(map(known, self.pieces.findall(p))) for p in parts)
 
-    def forget(self) -> None:
-        """Empty the stores: a worker that goes on to other work should not hold them."""
-        self.known.clear()
-        self.fitting.clear()
-
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -175,7 +170,8 @@ def encode(docs: DataFrame, path: str, column: str = "text", decoded: bool = Tru
                 if decoded:
                     columns.append(pa.array(map(coder.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "decoded"][: len(columns)])
-        coder.forget()
+        # a worker that goes on to other work should not hold the vocabulary
+        _encoders.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(column).cast("string").alias("text")).mapInArrow(work, f"doc_id {kind}, ids binary, n_tokens long" + ", decoded string" * decoded)

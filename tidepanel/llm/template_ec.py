@@ -131,20 +131,21 @@ def read_page(source: str) -> Page:
             at = end.end() if end else len(source)
             page.tokens.append(f"{stack[-1][1]}/{name}")
             continue
+        if name == "br":
+            held.append(" ")
+            continue
         if name in BLOCKS:
             flush()
             # what a block ends by starting: a paragraph, an item or a cell of the same list or row
             ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p" or stack[i][0] in ends:
-                    if name != "br":
-                        close(i)
+                    close(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
-            if name != "br":
-                page.tokens.append(f"{stack[-1][1]}/{name}")
+            page.tokens.append(f"{stack[-1][1]}/{name}")
             continue
         _, path, inside, outside = stack[-1]
         now = outside or _outside(name, attrs, inside)
