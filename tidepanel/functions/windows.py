@@ -41,6 +41,11 @@ def guarded(value: Column, observed: Column, n: int, least: int | None = None) -
     return F.when(F.count(observed).over(last(n)) >= (n if least is None else least), value.over(last(n)))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return F.try_divide(a, b)
+
+
 def mean(c: Column, n: int, least: int | None = None) -> Column:
     return guarded(F.avg(c), c, n, least)
 

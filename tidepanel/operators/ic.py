@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.functions import windows as w
 from tidepanel.functions.stats import t_two_sided
@@ -64,7 +65,7 @@ def newey_west(ic: DataFrame, lags: int = 5, half_life: float | None = None) ->
     return out.select("feature", "ic_mean", F.when(c("n") < 3, 0.0).otherwise(c("ic_mean") / error).alias("t_nw"), "n")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t.to_numpy(), df.to_numpy()))
 
@@ -110,7 +111,7 @@ def summary(ic: DataFrame) -> DataFrame:
     """(feature, ic_mean, ic_std, ir, hit_rate, abs_mean, n)."""
     return ic.where("ic is not null").groupBy("feature").agg(
         F.avg("ic").alias("ic_mean"), F.stddev("ic").alias("ic_std"), F.try_divide(F.avg("ic"), F.stddev("ic")).alias("ir"),
-        F.avg((c("ic") > 0).cast("double")).alias("hit_rate"), F.avg(F.abs("ic")).alias("abs_mean"), F.count("*").alias("n"),
+        F.avg((c("ic") > 1e-12).cast("double")).alias("hit_rate"), F.avg(F.abs("ic")).alias("abs_mean"), F.count("*").alias("n"),
     )
 
 

@@ -21,13 +21,13 @@ c = F.col
 def with_returns(bars: DataFrame, clip: float = 5.0, clip_mode: str = "full_sample") -> DataFrame:
     """Add ret (simple return), pct (per cent) and x (pct within ``clip`` deviations of the entity)."""
     over = w.whole() if clip_mode == "full_sample" else w.upto()
-    df = bars.withColumn("ret", c("close") / w.lag("close") - 1).withColumn("pct", (c("close") / w.lag("close") - 1) * 100.0)
+    df = bars.withColumn("ret", w.ratio(c("close"), w.lag("close")) - 1).withColumn("pct", (w.ratio(c("close"), w.lag("close")) - 1) * 100.0)
     most = F.stddev("pct").over(over) * clip
     return df.withColumn("x", F.when(c("pct").isNotNull(), F.least(F.greatest(c("pct"), -most), most)))
 
 
 def returns(df: DataFrame, spans=(1, 2, 3, 5, 10, 21, 42, 63, 126, 252), lags=(1, 2, 3, 5, 10)) -> DataFrame:
-    return df.withColumns({f"ret_pct_{k}": (c("close") / w.lag("close", k) - 1) * 100.0 for k in spans} | {f"x_lag_{k}": w.lag("x", k) for k in lags})
+    return df.withColumns({f"ret_pct_{k}": (w.ratio(c("close"), w.lag("close", k)) - 1) * 100.0 for k in spans} | {f"x_lag_{k}": w.lag("x", k) for k in lags})
 
 
 def moments(df: DataFrame, spans=(21, 42, 63, 126)) -> DataFrame:
@@ -57,7 +57,7 @@ def levels(df: DataFrame) -> DataFrame:
     made["ret_z"] = c("x") / (w.std(c("x"), 60, 30) + 1e-8)
     made |= {f"_peak_{n}": w.most(close, n, max(1, n // 2)) for n in (21, 63)}
     df = df.withColumns(made)
-    return df.withColumns({f"dd_{n}": w.fewest((close - c(f"_peak_{n}")) / c(f"_peak_{n}"), n, max(1, n // 2)) for n in (21, 63)})
+    return df.withColumns({f"dd_{n}": w.fewest(w.ratio(close - c(f"_peak_{n}"), c(f"_peak_{n}")), n, max(1, n // 2)) for n in (21, 63)})
 
 
 SPANS = (5, 10, 21, 42, 63, 126)
@@ -114,8 +114,8 @@ def volume(df: DataFrame) -> DataFrame:
     close, v, ret = c("close"), c("volume"), c("ret")
     high, low = c("high"), c("low")
     sign = F.coalesce(F.signum(ret), F.lit(0.0))
-    df = df.withColumns({"_dv": v / w.lag(v) - 1, "_obv": F.sum(sign * v).over(w.upto()), "_pc": w.lag(close)})
-    made = {f"rel_volume_{n}": v / w.mean(v, n, n // 2) for n in (10, 21, 63)}
+    df = df.withColumns({"_dv": w.ratio(v, w.lag(v)) - 1, "_obv": F.sum(sign * v).over(w.upto()), "_pc": w.lag(close)})
+    made = {f"rel_volume_{n}": w.ratio(v, w.mean(v, n, n // 2)) for n in (10, 21, 63)}
     made |= {f"volume_z_{n}": w.zscore(v, n, n // 2) for n in (21, 63)}
     made["volume_trend"] = w.mean(v, 10, 5) / (w.mean(v, 63, 31) + 1e-8)
     made |= {f"pv_corr_{n}": w.corr(ret, c("_dv"), n, n // 2) for n in (21, 63)}
@@ -142,10 +142,10 @@ def liquidity(df: DataFrame) -> DataFrame:
             "_impact": F.abs(ret) / (close * v + 1e-8),
             "_lambda": F.abs(ret) / (F.sqrt(v) + 1e-8),
             "_rlag": r_lag,
-            "_hl": F.pow(F.ln(h / low), 2),
-            "_co": F.pow(F.ln(close / o), 2),
-            "_rs": F.ln(h / close) * F.ln(h / o) + F.ln(low / close) * F.ln(low / o),
-            "_gamma": F.when(F.lag("high").over(w.history()).isNotNull(), F.pow(F.ln(h2 / l2), 2)),
+            "_hl": F.pow(F.ln(w.ratio(h, low)), 2),
+            "_co": F.pow(F.ln(w.ratio(close, o)), 2),
+            "_rs": F.ln(w.ratio(h, close)) * F.ln(w.ratio(h, o)) + F.ln(w.ratio(low, close)) * F.ln(w.ratio(low, o)),
+            "_gamma": F.when(F.lag("high").over(w.history()).isNotNull(), F.pow(F.ln(w.ratio(h2, l2)), 2)),
         }
     )
     k = 3 - 2 * math.sqrt(2)
@@ -170,7 +170,7 @@ def liquidity(df: DataFrame) -> DataFrame:
 def structure(df: DataFrame) -> DataFrame:
     """Volatility regimes, trends, runs, distance from extremes."""
     close, ret = c("close"), c("ret")
-    df = df.withColumns({"_vol": w.std(ret, 21, 10), "_mom": close / w.lag(close, 21) - 1, "_mom63": close / w.lag(close, 63) - 1, "_n": F.row_number().over(w.history()).cast("double")})
+    df = df.withColumns({"_vol": w.std(ret, 21, 10), "_mom": w.ratio(close, w.lag(close, 21)) - 1, "_mom63": w.ratio(close, w.lag(close, 63)) - 1, "_n": F.row_number().over(w.history()).cast("double")})
     seen = F.collect_list("_vol").over(w.last(252))
     rank = F.size(F.filter(seen, lambda v: v < c("_vol"))) + (F.size(F.filter(seen, lambda v: v == c("_vol"))) + 1) / F.lit(2.0)
     df = df.withColumn("vol_regime_pct", F.when(c("_vol").isNotNull() & (F.count("_vol").over(w.last(252)) >= 126), rank / F.size(seen)))
@@ -194,8 +194,8 @@ def structure(df: DataFrame) -> DataFrame:
         "vol_regime_duration": since("vol").cast("double"),
         "days_since_mom_flip": since("mom").cast("double"),
         "price_streak": (since("dir") + 1) * c("_dir"),
-        "pct_from_52w_high": close / w.most(close, 252, 126) - 1,
-        "pct_from_52w_low": close / w.fewest(close, 252, 126) - 1,
+        "pct_from_52w_high": w.ratio(close, w.most(close, 252, 126)) - 1,
+        "pct_from_52w_low": w.ratio(close, w.fewest(close, 252, 126)) - 1,
     }
     made |= {f"price_z_{n}": w.zscore(close, n, n // 2) for n in (50, 200)}
     for n in (21, 63):
@@ -213,7 +213,7 @@ def market_risk(df: DataFrame, market: str = "mkt") -> DataFrame:
     ret, m, close = c("ret"), c(market), c("close")
     beta = lambda n, least=None: w.cov(ret, m, n, n // 2 if least is None else least) / (w.guarded(F.var_samp(w.pair(m, ret)[0]), w.pair(m, ret)[0], n, max(2, n // 2)) + 1e-10)
     df = df.withColumns({f"beta_mkt_{n}": beta(n) for n in (63, 126, 252)} | {"_top": F.max("close").over(w.upto())})
-    df = df.withColumns({"_res": ret - c("beta_mkt_63") * m, "_dd": close / c("_top") - 1, "_at_top": (close >= c("_top")).cast("int")})
+    df = df.withColumns({"_res": ret - c("beta_mkt_63") * m, "_dd": w.ratio(close, c("_top")) - 1, "_at_top": (close >= c("_top")).cast("int")})
     df = df.withColumn("_peak_run", F.sum("_at_top").over(w.upto()))
     made = {"beta_stability_126": w.std(c("beta_mkt_63"), 126, 63), "days_since_peak": (F.row_number().over(Window.partitionBy(w.ENTITY, "_peak_run").orderBy(w.TIME)) - 1).cast("double")}
     made |= {f"idio_vol_{n}": w.std(c("_res"), n, n // 2) for n in (63, 126)}
@@ -246,7 +246,7 @@ def reference_risk(df: DataFrame, reference: str = "mkt", spans=(21, 63, 126)) -
     df = df.withColumns({f"_res_{n}": ret - c(f"beta_ref_{n}") * m for n in spans})
     for name, of in (("_own", ret), ("_ref", m)):
         df = df.withColumn(name, F.when(of.isNotNull(), F.exp(F.sum(F.log1p(of)).over(w.upto()))))
-        df = df.withColumn(f"{name}_dd", c(name) / F.max(name).over(w.upto()) - 1)
+        df = df.withColumn(f"{name}_dd", w.ratio(c(name), F.max(name).over(w.upto())) - 1)
     made = {}
     for n in spans:
         own = w.std(c(f"_res_{n}"), n, n // 2)
@@ -259,7 +259,7 @@ def reference_risk(df: DataFrame, reference: str = "mkt", spans=(21, 63, 126)) -
 
 
 def forward_returns(df: DataFrame, spans=(1, 5, 21)) -> DataFrame:
-    return df.withColumns({f"fwd_{n}": F.lead("close", n).over(w.history()) / c("close") - 1 for n in spans})
+    return df.withColumns({f"fwd_{n}": w.ratio(F.lead("close", n).over(w.history()), c("close")) - 1 for n in spans})
 
 
 def forward_risk(df: DataFrame, k: float = 2.0) -> DataFrame:
@@ -288,7 +288,7 @@ def filled(df: DataFrame, name: str, limit: int | None = None) -> Column:
 
 def drawdown(df: DataFrame, growth: str = "growth") -> DataFrame:
     """Drawdown from the running peak of ``growth``, deepest so far, and length of the present run under water."""
-    df = df.withColumn("dd", c(growth) / F.max(growth).over(w.upto()) - 1)
+    df = df.withColumn("dd", w.ratio(c(growth), F.max(growth).over(w.upto())) - 1)
     df = df.withColumn("_island", F.sum((c("dd") >= 0).cast("int")).over(w.upto()))
     length = F.sum((c("dd") < 0).cast("int")).over(Window.partitionBy(w.ENTITY, "_island").orderBy(w.TIME).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumns({"max_dd": F.min("dd").over(w.upto()), "underwater": length.cast("long")})

@@ -12,7 +12,7 @@ c = F.col
 
 def relative_returns(df: DataFrame, benchmark: str, spans=(5, 21, 63)) -> DataFrame:
     """Returns over each span, less the basket's mean and less the benchmark entity's (0 if it is absent)."""
-    df = df.withColumns({f"_r{n}": (c("close") / w.lag("close", n) - 1) * 100.0 for n in spans})
+    df = df.withColumns({f"_r{n}": (w.ratio(c("close"), w.lag("close", n)) - 1) * 100.0 for n in spans})
     made = {}
     for n in spans:
         own = c(f"_r{n}")

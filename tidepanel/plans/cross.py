@@ -26,7 +26,7 @@ _BASIC_FROM = f"""{PANEL}, b0 AS (SELECT *, (close / lag(close, 21) OVER {T} - 1
 
 def basic(spark, sf_dir):
     """The panel with 21-bar momentum, volatility, forward return and family."""
-    df = panel(spark, sf_dir).withColumns({"mom": (c("close") / w.lag("close", 21) - 1) * 100.0, "vol": w.std(c("ret"), 21, 10), "fwd_21": F.lead("close", 21).over(w.history()) / c("close") - 1})
+    df = panel(spark, sf_dir).withColumns({"mom": (w.ratio(c("close"), w.lag("close", 21)) - 1) * 100.0, "vol": w.std(c("ret"), 21, 10), "fwd_21": w.ratio(F.lead("close", 21).over(w.history()), c("close")) - 1})
     return with_family(df)
 
 
@@ -98,7 +98,7 @@ FROM g4 WINDOW d AS (PARTITION BY dt)
 
 @query("x07_x09_labels", _LABELS)
 def labels(spark, sf_dir):
-    df = ts.market_risk(with_market(spark, sf_dir)).withColumn("fwd_21", F.lead("close", 21).over(w.history()) / c("close") - 1)
+    df = ts.market_risk(with_market(spark, sf_dir)).withColumn("fwd_21", w.ratio(F.lead("close", 21).over(w.history()), c("close")) - 1)
     df = xs.labels(df)
     return df.select("dt", "ticker", w.rounded("y_raw"), w.rounded("y_cs"), w.rounded("y_resid"), w.rounded("y_resid_z", 5))
 

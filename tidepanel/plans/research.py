@@ -30,8 +30,8 @@ _LONG = f"""{_WIDE}, lng AS (SELECT dt, ticker, feature, value, y FROM (UNPIVOT
 def wide(spark, sf_dir):
     """Eight base features and y, the forward return over 21 bars."""
     df = panel(spark, sf_dir)
-    made = {f"ret_pct_{k}": (c("close") / w.lag("close", k) - 1) * 100.0 for k in (1, 5, 21, 63)} | {f"std_{n}": w.std(c("x"), n) for n in (21, 63)}
-    made |= {"rel_volume_21": c("volume") / w.mean(c("volume"), 21, 10), "pct_from_high": c("close") / w.most(c("close"), 252, 126) - 1, "y": F.lead("close", 21).over(w.history()) / c("close") - 1}
+    made = {f"ret_pct_{k}": (w.ratio(c("close"), w.lag("close", k)) - 1) * 100.0 for k in (1, 5, 21, 63)} | {f"std_{n}": w.std(c("x"), n) for n in (21, 63)}
+    made |= {"rel_volume_21": c("volume") / w.mean(c("volume"), 21, 10), "pct_from_high": c("close") / w.most(c("close"), 252, 126) - 1, "y": w.ratio(F.lead("close", 21).over(w.history()), c("close")) - 1}
     return df.withColumns(made).select("dt", "ticker", *FEATURES, "y")
 
 
@@ -115,7 +115,7 @@ def formation(spark, sf_dir):
 
 
 _SUMMARY = f"""
-WITH {_LONG} SELECT feature, round(avg(ic), 6) + 0.0 AS ic_mean, round(stddev_samp(ic), 6) + 0.0 AS ic_std, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) + 0.0 AS ir, round(avg((ic > 0)::INT), 6) + 0.0 AS hit_rate,
+WITH {_LONG} SELECT feature, round(avg(ic), 6) + 0.0 AS ic_mean, round(stddev_samp(ic), 6) + 0.0 AS ic_std, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) + 0.0 AS ir, round(avg((ic > 1e-12)::INT), 6) + 0.0 AS hit_rate,
   round(avg(abs(ic)), 6) + 0.0 AS abs_mean, count(*) AS n FROM ic WHERE ic IS NOT NULL GROUP BY 1
 """
 
