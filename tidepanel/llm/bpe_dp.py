@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm.common import lean
+
 # The published pattern that cuts text into pieces before byte-level merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -174,4 +176,4 @@ def encode(docs: DataFrame, path: str, column: str = "text", decoded: bool = Tru
         _encoders.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(column).cast("string").alias("text")).mapInArrow(work, f"doc_id {kind}, ids binary, n_tokens long" + ", decoded string" * decoded)
+    return docs.select("doc_id", F.col(column).cast("string").alias("text")).mapInArrow(lambda it: lean(work(it)), f"doc_id {kind}, ids binary, n_tokens long" + ", decoded string" * decoded)

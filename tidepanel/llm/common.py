@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -59,6 +62,21 @@ def crc_fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
+def lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass batches on and, after the last, give memory back: idle Python workers stay alive and count."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def rows_by_key(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Groups of consecutive rows that share ``key``, from batches sorted by it."""
     held: list[pa.RecordBatch] = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import materialize
+from tidepanel.llm.common import lean, materialize
 
 
 class UnionFind:
@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(
         edges.where("a is not null and b is not null and a != b")
         .select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-        .mapInArrow(_forest, "a long, b long")
+        .mapInArrow(lambda it: lean(_forest(it)), "a long, b long")
     )
     mark = None
     while True:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import crc_fold, shared_dir
+from tidepanel.llm.common import crc_fold, lean, release, shared_dir
 from tidepanel.llm.textkernel import mix, slices, word_bounds, word_hashes
 
 _U = np.uint64
@@ -184,6 +184,7 @@ def _stream(docs: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
             row = (block, ids[i], fold[i], int(b - a), int(known[i]), *(_narrow(c[a:b]) for c in counts[0]), *learn, *ends, 0, 0)
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
+    release()
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     return pa.table([pa.array(c, kinds[d.split(" ")[1]]) for c, d in zip(columns, _STREAM.split(", "), strict=True)], _STREAM_NAMES)
 
@@ -285,14 +286,14 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, block_bytes: int
     kinds, total, learning = (x or 0 for x in totals)
     counted = (
         stream.where(F.col("fold") == _LEARN)
-        .mapInArrow(lambda it: _bins(it, total - learning), "bucket long, two long, one long, times long")
+        .mapInArrow(lambda it: lean(_bins(it, total - learning)), "bucket long, two long, one long, times long")
         .groupBy("bucket", "two", "one")
         .agg(F.sum("times").alias("times"))
         .toPandas()  # at most BUCKETS x (bins of either estimate)
     )
     weights = learn_weights(counted.to_numpy(np.int64), 1 / (kinds + 1)) if total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     scored = stream.where("block >= 0").mapInArrow(
-        lambda it: _scored(it, weights, total, kinds), "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
+        lambda it: lean(_scored(it, weights, total, kinds)), "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
     )
     held_out = (F.col("fold") == _NOT_HELD) & F.col("doc_id").isNotNull()
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import crc_fold
+from tidepanel.llm.common import crc_fold, lean
 from tidepanel.llm.textkernel import slices
 
 #: Hashed features of a text.
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, parts: int = 4, held: int = 2) -> Model:
     # a language's share of the hash range leaves somewhat more than are wanted
     cut = F.create_map(*(v for k in languages for v in (F.lit(k), F.lit(int(min(1.0, (most + 6 * math.sqrt(most) + 6) / sizes[k]) * top)))))
     chosen = rows.where((F.pmod(F.xxhash64("d"), F.lit(top)) < F.coalesce(cut[F.col("lang")], F.lit(0))))
-    got = chosen.select("lang", "text", F.xxhash64("d").alias("h")).mapInArrow(lambda it: _sampled(pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["lang", "text"]) for b in it), "lang string, x binary").toArrow()
+    got = chosen.select("lang", "text", F.xxhash64("d").alias("h")).mapInArrow(lambda it: lean(_sampled(pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["lang", "text"]) for b in it)), "lang string, x binary").toArrow()
     x, y = np.empty((most * len(languages), FEATURES)), []
     for lang, features_ in sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True)):
         if y.count(k := languages.index(lang)) < most:
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, parts: int = 4, held: int = 2, ambiguous: float =
     carry = carry or []
     row = F.struct(F.col("doc_id").alias("doc_id"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
     rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
-    named = rows.mapInArrow(lambda it: _predicted(it, model.value), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    named = rows.mapInArrow(lambda it: lean(_predicted(it, model.value)), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return named.select(
         F.col("row.doc_id").alias("doc_id"),
         F.coalesce(crc_fold(F.col("row.doc_id"), parts) == held, F.lit(False)).alias("held_out"),

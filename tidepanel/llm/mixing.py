@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import materialize
+from tidepanel.llm.common import lean, materialize
 from tidepanel.llm.textkernel import mix, slices, word_bounds
 
 _U = np.uint64
@@ -197,12 +197,13 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         drawn.withColumn("from", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(step))))
         .repartition(max(1, min(shards, 512)), "shard", "s", "from")
         .select("shard", "s", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step - 1, F.col("first") + F.col("n") - 1))).alias("slot"))
-        .mapInArrow(lambda it: _mapped(it, sizes, seeds, block), "shard int, s int, slot long, block long, epoch long")
+        .mapInArrow(lambda it: lean(_mapped(it, sizes, seeds, block)), "shard int, s int, slot long, block long, epoch long")
     )
     # the last slot of a source gives only as many words as its target still lacks
     ends = known.select(F.col("s").alias("e"), (F.col("slots") - 1).alias("end"), "last")
     segments = (
-        slots.join(pieces, ["s", "block"])
+        slots.hint("merge")  # its size cannot be told from that of the drawn counts
+        .join(pieces, ["s", "block"])
         .join(F.broadcast(ends), F.col("s") == F.col("e"))
         .withColumn("high", F.when(F.col("slot") == F.col("end"), F.least("high", F.col("block") * block + F.col("last") - F.col("start"))).otherwise(F.col("high")))
         .where("high > low")
@@ -217,7 +218,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     sums = made.segments.groupBy("s", "start").agg(F.sum(F.col("high") - F.col("low")).alias("taken")).withColumn("some", F.lit(True))
     return (
         made.documents.withColumn("some", F.col("size") > 0)
-        .join(sums, ["s", "start", "some"], "left")
+        .join(sums.hint("merge"), ["s", "start", "some"], "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
@@ -249,12 +250,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """
     made = plan(docs, **options)
     parts = made.segments.groupBy("s", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("parts"))
-    chosen = made.documents.where("size > 0").join(parts, ["s", "start"]).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "parts")
+    chosen = made.documents.where("size > 0").join(parts.hint("merge"), ["s", "start"]).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "parts")
     columns = docs.columns
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), content_key(docs).alias("_hash"), F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns) if c != "text")).alias("row"), F.col("text").cast("string").alias("text"))
     rows = rows.dropDuplicates(["_id", "_hash"])  # equal rows have a row of ``chosen`` each
-    joined = chosen.join(rows, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash"))).select("row", "text", "parts")
-    cut = joined.mapInArrow(_cut, f"row {joined.schema['row'].dataType.simpleString()}, text string")
+    joined = chosen.hint("merge").join(rows, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash"))).select("row", "text", "parts")
+    cut = joined.mapInArrow(lambda it: lean(_cut(it)), f"row {joined.schema['row'].dataType.simpleString()}, text string")
     value = {c: F.col(f"row.c{i}") for i, c in enumerate(columns) if c != "text"} | {"text": F.col("text")}
     if "n_chars" in value:
         value["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import materialize, rows_by_key
+from tidepanel.llm.common import lean, materialize, rows_by_key
 from tidepanel.llm.graph import connected_components
 
 #: Vectors of a label for each pivot; pivots of a label, and of all labels, at most.
@@ -132,7 +132,7 @@ def range_join(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK, per
 
     cells = materialize(
         classes.select("label", "dim", "id", "n", "vector").mapInArrow(
-            lambda it: _cells(it, pivots.value, angle), "label string, dim int, cell int, guest boolean, id long, n long, vector array<double>"
+            lambda it: lean(_cells(it, pivots.value, angle)), "label string, dim int, cell int, guest boolean, id long, n long, vector array<double>"
         )
     )
     split = cells.groupBy("label", "dim", "cell").agg(*(F.ceil(F.count(F.when(F.col("guest") == g, 1)) / F.lit(block)).cast("int").alias(name) for g, name in ((False, "homes"), (True, "guests"))))
@@ -148,7 +148,7 @@ def range_join(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK, per
         .select("label", "dim", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "vector")
     )
     at = ["label", "dim", "cell", "i", "j"]
-    found = materialize(tasks.repartition(*at).sortWithinPartitions(*at).mapInArrow(lambda it: _joined(it, cosine), "id long, root long, links long"))
+    found = materialize(tasks.repartition(*at).sortWithinPartitions(*at).mapInArrow(lambda it: lean(_joined(it, cosine)), "id long, root long, links long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     placed = materialize(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import materialize, rows_by_key
+from tidepanel.llm.common import lean, materialize, rows_by_key
 from tidepanel.llm.graph import UnionFind, connected_components
 from tidepanel.llm.textkernel import mix, shingle_sets, slices
 
@@ -147,7 +147,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, wide: bool) -> DataFrame:
     """(a, b, both, all) of (a, b); a row of ``sets`` is joined to each pair that needs it."""
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _compared(it, wide), "a long, b long, both long, all long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lambda it: lean(_compared(it, wide)), "a long, b long, both long, all long")
 
 
 def _within(batches: Iterable[pa.RecordBatch], threshold: float, m: int) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
     kept, and joins no group. An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(texts.mapInArrow(lambda it: _signed(it, n, rows, bands), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
+    signed = materialize(texts.mapInArrow(lambda it: lean(_signed(it, n, rows, bands)), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     # one row for each class: a repeated doc_id can have several rows
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
 
     def sets_of(ids: DataFrame, wide: bool) -> DataFrame:
         return materialize(
-            texts.join(ids.distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda it: _sets(it, n, wide), "id long, elements binary")
+            texts.join(ids.distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda it: lean(_sets(it, n, wide)), "id long, elements binary")
         )
 
     def exact(pairs: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
         rest.repartition("key", "kind", "i", "j")
         .sortWithinPartitions("key", "kind", "i", "j")
         .select("key", "kind", "i", "j", "side", "id", "comp", "far", "band", "bands", "elements")
-        .mapInArrow(lambda it: _within(it, at, rows * bands), "a long, b long")
+        .mapInArrow(lambda it: lean(_within(it, at, rows * bands)), "a long, b long")
     )
     edges = groups.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(exact(more.distinct()))
     components = connected_components(edges)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm.common import lean
+
 #: Pages of one host that a template is deduced from, and characters of theirs, at most.
 GROUP_PAGES, GROUP_CHARS = 64, 8_000_000
 #: Different pages that it takes for text blocks to be called template.
@@ -275,4 +277,4 @@ def main_text(pages: DataFrame, hot: int = HOT, piece: int = PIECE) -> DataFrame
     # pages without a host stand alone
     dealt = dealt.withColumn("piece", F.when(F.col("host") == "", F.hash("page_id")).otherwise(F.col("piece")))
     sent = dealt.select("host", "piece", "page_id", "url", "html").repartition("host", "piece").sortWithinPartitions("host", "piece", "page_id")
-    return sent.mapInArrow(_extracted, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return sent.mapInArrow(lambda it: lean(_extracted(it)), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import materialize, partitions, shared_dir
+from tidepanel.llm.common import lean, materialize, partitions, shared_dir
 
 #: Payloads of fewer bytes are always stored.
 REVISIT_BYTES = 1000
@@ -150,7 +150,7 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Captures of all archives in ``path``, each archive's a run in sorted order."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_runs, _CAPTURE)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lambda it: lean(_runs(it)), _CAPTURE)
 
 
 def loser_tree(runs: list[list[tuple]], key=_order) -> Iterator[tuple]:
@@ -215,7 +215,7 @@ def merge_index(captures: DataFrame) -> DataFrame:
     Keys are cut by URL key, timestamp, page and place, so that captures of one URL, however
     many, can be spread over several ranges.
     """
-    return captures.repartitionByRange(partitions(captures.sparkSession), "urlkey", "stamp", "page_id", "file", "offset").mapInArrow(_merged, _CAPTURE)
+    return captures.repartitionByRange(partitions(captures.sparkSession), "urlkey", "stamp", "page_id", "file", "offset").mapInArrow(lambda it: lean(_merged(it)), _CAPTURE)
 
 
 def archive_index(pages: DataFrame, path: str | None = None) -> DataFrame:
