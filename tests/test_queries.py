@@ -27,6 +27,8 @@ def duck():
 def settled(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df:
+        if df[c].dtype == bool or str(df[c].dtype) == "boolean":
+            df[c] = df[c].astype(object)
         if df[c].dtype == object or str(df[c].dtype).startswith(("datetime", "str")):
             df[c] = df[c].map(lambda v: None if pd.isna(v) else str(v)[:10] if hasattr(v, "year") else str(v))
         else:
