@@ -317,9 +317,8 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
 
 @query("s13_cache_status", _CACHE)
 def cache_status(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"), F.count("*").alias("k"))
-    df = items.join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey")).groupBy(c("p_brand").alias("ticker"))
-    return df.agg(F.min("a").cast("date").alias("first"), F.max("b").cast("date").alias("last"), F.sum("k").alias("n")).withColumn("days", F.datediff("last", "first").cast("long"))
+    df = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey")).groupBy(c("p_brand").alias("ticker"))
+    return df.agg(F.min("l_shipdate").cast("date").alias("first"), F.max("l_shipdate").cast("date").alias("last"), F.count("*").alias("n")).withColumn("days", F.datediff("last", "first").cast("long"))
 
 
 _MERGE = f"""

@@ -22,21 +22,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dt, ticker, open, high, low, close, volume) by week and brand.
 
-    Line items are added up by part and week before the brands are joined, so that only
-    the sums are shuffled, and no brand is a hot key of the first exchange.
+    The dimension is joined as the optimiser finds best; items are then summed by week and brand in
+    each task before they are shuffled, so that a brand with many items is no hot key.
     """
     items = read(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
-    sums = (
-        items.withColumn("dt", F.date_trunc("week", "l_shipdate").cast("date"))
-        .groupBy("l_partkey", "dt")
-        .agg(F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("n"))
-    )
     parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
     return (
-        sums.join(parts, sums.l_partkey == parts.p_partkey)
-        .groupBy("dt", "ticker")
-        .agg(F.max("high").alias("high"), F.min("low").alias("low"), F.sum("cents").alias("cents"), F.sum("n").alias("n"))
+        items.join(parts, items.l_partkey == parts.p_partkey)
+        .groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("dt"), "ticker")
+        .agg(F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("n"))
         .select(
             "dt",
             "ticker",
