@@ -30,14 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def temporary(spark: SparkSession, kind: str = "tidepanel") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the driver's JVM ends."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(of)
+
+
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The written copy outlives executors: if one is lost, only the tasks that read it rerun.
+    The written copy outlives executors: if one is lost, only the tasks that read it rerun. It
+    goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidepanel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = temporary(spark)
+    df.write.options(**options).parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,6 @@ where the texts are read again and leave the counts of each of their tokens.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import crc_fold, lean, release, shared_dir
+from tidepanel.llm.common import crc_fold, lean, materialize, release
 from tidepanel.llm.textkernel import mix, slices, word_bounds, word_hashes
 
 _U = np.uint64
@@ -266,7 +265,6 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, block_bytes: int
     null doc_id is scored, teaches nothing and is not held out. Repeated rows teach as often as they
     stand there. Without training tokens all probability is uniform. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -278,9 +276,7 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, block_bytes: int
     asked = dealt.groupBy("block").applyInArrow(lambda t: _ask(t, bits), "block long, kind int, part long, keys binary, train binary, learn binary")
     answers = asked.groupBy("kind", "part").applyInArrow(_answer, "block long, kind int, part long, train binary, learn binary, v long, n long")
     stream = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _stream(d, a, bits), _STREAM)
-    path = f"{shared_dir(spark)}/tidepanel-{uuid.uuid4().hex}"
-    stream.write.option("compression", "zstd").parquet(path)
-    stream = spark.read.schema(_STREAM).parquet(path)
+    stream = materialize(stream, compression="zstd")
 
     totals = stream.agg(F.sum("v"), F.sum("n"), F.sum(F.when(F.col("fold") == _LEARN, F.col("n_tokens")))).first()
     kinds, total, learning = (x or 0 for x in totals)

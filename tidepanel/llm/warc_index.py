@@ -12,14 +12,13 @@ import datetime
 import gzip
 import hashlib
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import lean, materialize, partitions, shared_dir
+from tidepanel.llm.common import lean, materialize, partitions, temporary, until_exit
 
 #: Payloads of fewer bytes are always stored.
 REVISIT_BYTES = 1000
@@ -221,6 +220,8 @@ def merge_index(captures: DataFrame) -> DataFrame:
 def archive_index(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write archives of ``pages``, read them back and return the merged index of their captures."""
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path)
-    return merge_index(materialize(read_archives(spark, path)))
+    own = path or temporary(spark, "warc")
+    write_archives(pages, own)
+    if not path:
+        until_exit(spark, own)
+    return merge_index(materialize(read_archives(spark, own)))
