@@ -53,3 +53,12 @@ def test_query_without_sql_runs(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+@needs_data
+def test_plans_prune_scans_and_shuffle_once_by_entity(spark):
+    from tidepanel.plans.features import returns
+
+    plan = returns(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "struct<l_partkey:bigint,l_quantity:double,l_extendedprice:double,l_shipdate" in plan and "l_comment" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 1 and "Python" not in plan
