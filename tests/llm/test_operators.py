@@ -381,3 +381,9 @@ def test_empty_tables(spark):
         mixing.mixed(none),
     ]
     assert [df.count() for df in made] == [0] * len(made)
+
+
+def test_secret_scans_run_no_python(spark, docs):
+    ledger = blob_ledger.scan(docs, blob_ledger.empty_ledger(spark))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (ledger, blob_ledger.digest(blob_ledger.findings(docs, ledger)))]
+    assert not any(word in plan for plan in plans for word in ("Python", "Pandas", "Arrow"))
