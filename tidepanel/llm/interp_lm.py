@@ -41,7 +41,7 @@ _WIDTH = (7, 6)
 _BEGIN, _END = _U(0x6A09E667F3BCC909), _U(0xBB67AE8584CAA73B)
 _STREAM = "block long, doc_id long, fold int, n_tokens long, n_known long, tokens binary, pairs binary, fold_tokens binary, fold_pairs binary, ends long, fold_ends long, v long, n long"
 _STREAM_NAMES = [c.split(" ")[0] for c in _STREAM.split(", ")]
-_NOT_HELD, _TRAIN, _LEARN = 0, 1, 2
+_OUT, _TRAIN, _LEARN = 0, 1, 2
 
 
 class _Text:
@@ -121,7 +121,7 @@ def _ask(docs: pa.Table, bits: int) -> pa.Table:
         text = _Text(docs["text"])
         fold = docs["fold"].to_numpy()[text.owner]
         for kind, (keys, where) in enumerate(text.keys):
-            train = np.bincount(where, fold != _NOT_HELD, len(keys)).astype(np.int64)
+            train = np.bincount(where, fold != _OUT, len(keys)).astype(np.int64)
             learn = np.bincount(where, fold == _LEARN, len(keys)).astype(np.int64)
             raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _WIDTH[kind]]
             for part, a, b in _cut(keys, bits):
@@ -270,7 +270,7 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, block_bytes: int
     blocks = max(1, -(-size // block_bytes))
     bits = min(MOST_BITS, math.ceil(math.log2(blocks)))
     train = F.coalesce(crc_fold(F.col("doc_id"), parts) != held, F.lit(False))
-    fold = F.when(~train, _NOT_HELD).when(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLD)) == 0, _LEARN).otherwise(_TRAIN).cast("int")
+    fold = F.when(~train, _OUT).when(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLD)) == 0, _LEARN).otherwise(_TRAIN).cast("int")
     dealt = texts.select("doc_id", "text", fold.alias("fold"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition("block")
 
     asked = dealt.groupBy("block").applyInArrow(lambda t: _ask(t, bits), "block long, kind int, part long, keys binary, train binary, learn binary")
@@ -291,5 +291,5 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, block_bytes: int
     scored = stream.where("block >= 0").mapInArrow(
         lambda it: lean(_scored(it, weights, total, kinds)), "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
     )
-    held_out = (F.col("fold") == _NOT_HELD) & F.col("doc_id").isNotNull()
+    held_out = (F.col("fold") == _OUT) & F.col("doc_id").isNotNull()
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
