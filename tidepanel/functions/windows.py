@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 ENTITY, TIME = "ticker", "dt"
 
 
-
 def history() -> WindowSpec:
     """The rows of an entity in order."""
     return Window.partitionBy(ENTITY).orderBy(TIME)
@@ -109,20 +108,13 @@ def zscore(c: Column, n: int, least: int | None = None, tiny: float = 1e-8) -> C
     return (c - mean(c, n, least)) / (std(c, n, least) + F.lit(tiny))
 
 
-def percent_rank(c: Column, by: WindowSpec | None = None, keys: tuple[str, ...] = (TIME,)) -> Column:
+def percent_rank(c: Column, keys: tuple[str, ...] = (TIME,)) -> Column:
     """Average rank over the number of values of each cross-section; null for null."""
     base = Window.partitionBy(*keys)
     rank = F.rank().over(base.orderBy(c.asc_nulls_last())) + (F.count(c).over(Window.partitionBy(*keys, c)) - 1) / F.lit(2.0)
     return F.when(c.isNotNull(), rank / F.count(c).over(base))
 
 
-def run_length(changed: Column, name: str = "run") -> tuple[Column, Column]:
-    """(number of a run, for a first projection; rows since the run began, for a second one on ``name``)."""
-    number = F.sum(changed.cast("int")).over(upto())
-    since = F.row_number().over(Window.partitionBy(ENTITY, name).orderBy(TIME)) - 1
-    return number, since
-
-
 def rounded(c: str, digits: int = 6) -> Column:
     """For comparison across engines: rounded, and no negative zero."""
     return (F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import windows as w
 from tidepanel.operators import timeseries as ts
 from tidepanel.operators import xsection as xs
-from tidepanel.plans.features import _MARKET, _RISK_FROM, with_market
+from tidepanel.plans.features import _RISK_FROM, with_market
 from tidepanel.plans.panel import BARS, PANEL, SERIES, T, bars, dev, panel, rank_pct, read, select, series, shown
 from tidepanel.registry import query
 
@@ -335,5 +335,3 @@ def merge_keep_last(spark, sf_dir):
     new = old.where(F.month("dt") % 3 == 0).withColumns({"value": c("value") * 2, "load_id": F.lit(2)})
     return merged(old, new, ["name", "dt"], "load_id").select("name", "dt", w.rounded("value", 4))
 
-
-_ = (_MARKET,)

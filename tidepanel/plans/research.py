@@ -9,8 +9,6 @@ from tidepanel.functions import windows as w
 from tidepanel.operators import ic as ics
 from tidepanel.operators import interactions as inter
 from tidepanel.operators import selection as sel
-from tidepanel.operators import timeseries as ts
-from tidepanel.plans.cross import basic
 from tidepanel.plans.panel import PANEL, T, avg, dev, panel, rank_pct, roll
 from tidepanel.registry import query
 
@@ -301,5 +299,3 @@ def residual_ic(spark, sf_dir):
 
     return resid(wide(spark, sf_dir), "std_21", "ret_pct_21", "y").select("dt", w.rounded("ic"), "n")
 
-
-_ = (basic, ts)

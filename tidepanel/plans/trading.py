@@ -13,7 +13,7 @@ from tidepanel.operators import regime as rg
 from tidepanel.operators import universe as un
 from tidepanel.operators import xsection as xs
 from tidepanel.plans.cross import _BASIC_FROM, basic, rebalance_grid
-from tidepanel.plans.panel import BARS, PANEL, SERIES, avg, bars, panel, rank_pct, series
+from tidepanel.plans.panel import BARS, PANEL, SERIES, bars, panel, rank_pct, series
 from tidepanel.registry import query
 
 c = F.col
@@ -344,5 +344,3 @@ def name_classes(spark, sf_dir):
     df = spark.createDataFrame([(n,) for n in _NAMES], "feature string")
     return df.select("feature", classify.feature_family(c("feature")).alias("family"), classify.horizon_days(c("feature")).alias("days"), classify.horizon_bucket(classify.horizon_days(c("feature"))).alias("bucket"))
 
-
-_ = (avg,)
