@@ -40,9 +40,17 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{12,}", holds="AKIA"),
     Rule("hex", 1, r"[0-9a-f]{32,}"),
 )
+# A private key: its header, and all up to the END line. Where that is missing, the base64 run (lines, a text
+# on one line, or what a cut leaves at the end of the text). Loops of groups are bounded, as Java's recurse.
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:[ \t\r\n]*(?:Proc-Type|DEK-Info):[^\r\n]*){0,4}[ \t\r\n]*[A-Za-z0-9+/=\r\n\\]{16,}(?:[ \t]+[A-Za-z0-9+/=\r\n\\]{8,}){0,125}(?:[ \t]+[A-Za-z0-9+/]{1,7}={0,2})?"
+    r"|[ \t\r\n\\]*[A-Za-z0-9+/]{1,15}={0,2}[ \t\r\n]*\z)?"
+)
 RULES = (
     *BASE,
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", holds="PRIVATE KEY-----"),
+    Rule("pem", 2, _PEM, holds="PRIVATE KEY-----"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", holds="eyJ"),
 )
 
