@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import blob_ledger
+from tidepanel.llm import blob_ledger, template_ec
 from tidepanel.llm.common import materialize, ready
 
 
@@ -26,3 +27,22 @@ def test_no_byte_of_a_private_key_is_left(spark):
     assert all(got[i] == "before [secret] after." for i, _ in whole)
     assert all(got[i] == "before [secret]" for i, _ in cut)
     assert got[200] == "before [secret]. after." and got[201] == "before [secret] after." and got[202] == "before [secret] [secret] after."
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<body><div class="site has-sidebar"><article><p>Body</p></article></div>', "Body"),
+        ('<body><div class="content no-comments comments-closed"><article><p>Body</p></article></div>', "Body"),
+        ('<article><h1>T</h1><div class="elementor-element elementor-widget"><p>Body</p></div></article>', "T Body"),
+        ('<body><p>x</p><div class="sidebar"><p>side</p><article><p>Body</p></article></div>', "Body"),
+        ('<body><div class="widget"><main><p>Body</p><div class="comments"><article>c</article></div></main></div>', "Body"),
+        ('<main><h1>T</h1><div class="widget"><p>w</p><article><p>Body</p></article></div></main>', "T Body"),
+        ('<body><p>Long text of the page</p><div class="sidebar"><article>card</article></div>', "Long text of the page card"),
+        ('<body><article>Body</article><div class="sidebar"><article>card</article></div><div id="comments"><article>c</article></div>', "Body"),
+        ('<body><p>Body</p><div class="related-posts"><article>card</article></div>', "Body"),
+        ('<article>Body<div class="cookie-notice">no</div><div role="search">no</div><div class="shareButtons">no</div></article>', "Body"),
+    ],
+)
+def test_marked_wrappers_exclude_no_article(source, text):
+    assert template_ec.extract([source], ["/"]) == [text]

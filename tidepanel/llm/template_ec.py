@@ -47,6 +47,13 @@ MARKS = {
     "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 
+#: Last parts of class tokens that state how a mark is (comments-open).
+STATES = {"active", "closed", "disabled", "enabled", "layout", "off", "on", "open"}
+#: Marks of what often lists articles of its own, such as comments and teasers.
+LISTS = {"comment", "comments", "disqus", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "sponsor", "sponsored"}
+#: How far an element is outside of what counts: by its marks, by marks of LISTS, by what it is.
+MARKED, LISTED, NEVER = 1, 2, 3
+
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*+(?:>|\Z))""", re.DOTALL
 )
@@ -57,10 +64,11 @@ _WORDS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 @dataclass
 class Block:
     path: str
-    inside: bool
-    outside: bool
+    inside: int  # 1 in a main element, 2 in an article
+    outside: int
     place: int
     text: str
+    reset: int = 0  # how far the elements around its article were outside
 
 
 @dataclass
@@ -69,24 +77,34 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
-def _outside(name: str, attrs: str, inside: bool) -> bool:
+def _mark(token: str) -> int:
+    """Whether a class, id or role says that its element is outside: it is a mark, or begins with one. Other parts say too little."""
+    parts = [w.lower() for w in _WORDS.findall(token)]
+    while len(parts) > 1 and len(parts[0]) == 1:  # c-sidebar, l-sidebar
+        del parts[0]
+    if not parts or parts[0] not in MARKS or len(parts) > 1 and parts[-1] in STATES:
+        return 0
+    return LISTED if parts[0] in LISTS else MARKED
+
+
+def _outside(name: str, attrs: str, inside: int) -> int:
     if name in OUTSIDE or name == "header" and not inside:
-        return True
+        return NEVER
     if len(attrs) < 4 or name in ("html", "body", *MAIN):
-        return False
+        return 0
+    most = 0
     for key, *values in _ATTRIBUTE.findall(attrs):
         value = "".join(values)
         if key.lower() == "hidden" or key.lower() == "aria-hidden" and value.lower() == "true":
-            return True
-        if not MARKS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-            return True
-    return False
+            return NEVER
+        most = max([most, *map(_mark, value.split())])
+    return most
 
 
 def read_page(source: str) -> Page:
     """Tokens and text blocks of a page; broken and unfinished markup is read as browsers do, roughly."""
     page, at = Page(), 0
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, inside an article, outside of what counts
+    stack: list[tuple[str, str, int, int, int]] = [("", "", 0, 0, 0)]  # name, path, inside, outside and reset as in a Block
     held: list[str] = []
 
     def flush() -> None:
@@ -94,8 +112,8 @@ def read_page(source: str) -> Page:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                _, path, inside, outside = stack[-1]
-                page.blocks.append(Block(path, inside, outside, len(page.tokens), text))
+                _, path, inside, outside, reset = stack[-1]
+                page.blocks.append(Block(path, inside, outside, len(page.tokens), text, reset))
                 page.tokens.append(f"{path} {text}")
 
     def close(upto: int) -> None:
@@ -149,14 +167,18 @@ def read_page(source: str) -> Page:
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             page.tokens.append(f"{stack[-1][1]}/{name}")
             continue
-        _, path, inside, outside = stack[-1]
-        now = outside or _outside(name, attrs, inside)
+        _, path, inside, outside, reset = stack[-1]
+        now = max(outside, _outside(name, attrs, inside)) if outside < NEVER else outside
+        if name in MAIN and MARKED <= now < NEVER:  # marks exclude no article in them
+            if name == "article":
+                reset = max(reset, now)
+            now = 0
         if now != outside:
             flush()
         if name in BLOCKS or now != outside:
             path = f"{path}/{name}"
             page.tokens.append(path)
-        stack.append((name, path, inside or name in MAIN and not now, now))
+        stack.append((name, path, max(inside, 1 + (name == "article") if name in MAIN and not now else 0), now, reset))
     close(1)
     return page
 
@@ -215,9 +237,21 @@ def deduce(pages: list[list[str]]) -> Template:
 
 
 def main_blocks(page: Page) -> list[Block]:
-    """Blocks in an article or main element; without one, all that are not outside of what counts."""
-    own = [b for b in page.blocks if b.inside and not b.outside]
-    return own or [b for b in page.blocks if not b.outside and "/body" in b.path] or [b for b in page.blocks if not b.outside]
+    """Blocks in an article or main element; without one, all that are not outside of what counts.
+
+    Articles in marked elements count if no other article does; those among comments and the like only if nothing else is left.
+    """
+    left = [b for b in page.blocks if not b.outside]
+    inner = [b for b in left if b.inside]
+    own = [b for b in inner if not b.reset]
+    marked = [b for b in inner if b.reset == MARKED]
+    if own:
+        return own if any(b.inside == 2 for b in own) else [b for b in inner if b.reset <= MARKED]
+    beside = [b for b in left if not b.reset]
+    beside = [b for b in beside if "/body" in b.path] or beside
+    if marked and sum(len(b.text) for b in marked) < sum(len(b.text) for b in beside):
+        return sorted(marked + beside, key=lambda b: b.place)
+    return marked or beside or inner
 
 
 def extract(sources: list[str], paths: list[str], shared: bool = True) -> list[str]:
