@@ -46,3 +46,33 @@ def test_no_byte_of_a_private_key_is_left(spark):
 )
 def test_marked_wrappers_exclude_no_article(source, text):
     assert template_ec.extract([source], ["/"]) == [text]
+
+
+def _article(i, more="<p>Share this page</p>"):
+    return f"<html><body><article><h1>Title {i}</h1><p>body of {i}</p>{more}</article></body></html>"
+
+
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in template_ec.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_no_page_of_a_host_is_left_without_the_template(spark):
+    for n in (65, 129, 130):
+        assert _texts(spark, [(i, f"http://h.com/{i}", _article(i)) for i in range(n)]) == {i: f"Title {i} body of {i}" for i in range(n)}
+    # a tail of copies learns from the group before
+    rows = [(i, f"http://h.com/{i}", _article(min(i, 70))) for i in range(140)]
+    assert _texts(spark, rows) == {i: f"Title {min(i, 70)} body of {min(i, 70)}" for i in range(140)}
+
+
+def test_pages_told_apart_by_their_query_are_different_pages(spark):
+    rows = [(i, f"http://h.com/index.php?id={i}", _article(i)) for i in range(20)]
+    assert _texts(spark, rows) == {i: f"Title {i} body of {i}" for i in range(20)}
+    # versions of one page are not
+    long = "".join(f"<p>paragraph {k}</p>" for k in range(9))
+    rows = [(i, f"http://h.com/a?sid={i}", _article(0, f"{long}<p>seen {i} times</p>")) for i in range(20)]
+    assert all("paragraph 4" in t for t in _texts(spark, rows).values())
+
+
+def test_a_page_of_another_layout_spoils_no_template(spark):
+    rows = [(i, f"http://h.com/{i}", _article(i)) for i in range(63)] + [(63, "http://h.com/63", "<html><body><main><div>Quite another page</div></main></body></html>")]
+    assert _texts(spark, rows) == {i: f"Title {i} body of {i}" for i in range(63)} | {63: "Quite another page"}

@@ -1,9 +1,9 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of one host are read together, in groups of bounded size. A page is a sequence of
-tokens: tags with the path of elements they stand in, and blocks of text. Tokens that occur
-equally often on each of the group's pages, page by page, share an occurrence vector and form
-an equivalence class. A class is valid if its tokens keep one order on all pages and all its
+tokens: tags with the path of elements they stand in, and blocks of text. Tokens that most of
+the group's pages have, and that occur equally often on each page, share an occurrence vector and form
+an equivalence class. A class is valid if its tokens keep one order on the pages and all its
 occurrences fall into one gap of the class around it; valid classes nest into a template. What
 stands in the gaps is data. The slots inside the article, without menus, notices, comments
 and the like, are the page's main text; blocks that belong to the template are not.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.common import lean
 
-#: Pages of one host that a template is deduced from, and characters of theirs, at most.
+#: Pages of one host that a template is deduced from, and the characters held at a time, about. Halves of what is held
+#: are groups, so that none is a short tail.
 GROUP_PAGES, GROUP_CHARS = 64, 8_000_000
-#: Different pages that it takes for text blocks to be called template.
-LEAST_PAGES = 4
+#: Different pages that it takes for text blocks to be called template, and the share of a group's pages that have them.
+LEAST_PAGES, SUPPORT = 4, 0.8
 #: Hosts with over a HOT-th of all pages, which are HOT at most, are dealt to several tasks, PIECE pages at least to each.
 HOT, PIECE = 4096, 512
 
@@ -183,13 +185,14 @@ def read_page(source: str) -> Page:
     return page
 
 
-def equivalence_classes(pages: list[list[str]]) -> dict[tuple[int, ...], list[str]]:
-    """Tokens of all pages by occurrence vector: how often they stand on each page."""
+def equivalence_classes(pages: list[list[str]], support: float = SUPPORT) -> dict[tuple[int, ...], list[str]]:
+    """Tokens by occurrence vector, how often they stand on each page; those that a ``support`` of all pages have."""
     counts = [Counter(p) for p in pages]
-    common = set(counts[0]).intersection(*counts[1:]) if counts else set()
+    having = Counter(token for c in counts for token in c)
     classes = defaultdict(list)
-    for token in common:
-        classes[tuple(c[token] for c in counts)].append(token)
+    for token, n in having.items():
+        if n >= support * len(pages):
+            classes[tuple(c[token] for c in counts)].append(token)
     return classes
 
 
@@ -204,35 +207,78 @@ class Template:
         return set(self.tokens).union(*(t.all_tokens() for ts in self.nested.values() for t in ts))
 
 
-def deduce(pages: list[list[str]]) -> Template:
-    """Nest the valid classes of some pages into a template; the outermost occurs once a page."""
+def _increasing(row: list[int]) -> set[int]:
+    """The members of a longest increasing run of ``row``, other members between them or not."""
+    ends: list[int] = []
+    at: list[int] = []  # index in row of the least end of runs of each length
+    before: list[int] = []
+    for i, v in enumerate(row):
+        k = bisect_left(ends, v)
+        before.append(at[k - 1] if k else -1)
+        ends[k:k + 1], at[k:k + 1] = [v], [i]
+    found, i = set(), at[-1] if at else -1
+    while i >= 0:
+        found.add(row[i])
+        i = before[i]
+    return found
+
+
+def _ordered(once: list[str], pages: list[dict[str, list[int]]], support: float) -> list[str]:
+    """``once`` in the order that the pages have them in, without those that stand elsewhere on too many."""
+    rows = [sorted((t for t in once if t in p), key=lambda t, p=p: p[t][0]) for p in pages]
+    # the mean place, measured by the tokens that are on all pages, says the order
+    anchors = {t for t in once if all(t in p for p in pages)}
+    place, having = Counter(), Counter()
+    for row in rows:
+        n = 0
+        for k, t in enumerate(row):
+            n += t in anchors
+            place[t] += n + k / (len(row) + 1)
+            having[t] += 1
+    order = sorted(once, key=lambda t: place[t] / having[t])
+    rank = {t: i for i, t in enumerate(order)}
+    fine = Counter(k for row in rows for k in _increasing([rank[t] for t in row]))
+    return [t for t in order if fine[rank[t]] >= support * len(pages)]
+
+
+def deduce(pages: list[list[str]], support: float = SUPPORT) -> Template:
+    """Nest the valid classes of some pages into a template; the outermost holds what occurs once a page that has it."""
     places = [defaultdict(list) for _ in pages]
-    classes = equivalence_classes(pages)
+    classes = equivalence_classes(pages, support)
     wanted = {t for ts in classes.values() for t in ts}
     for page, place in zip(pages, places, strict=True):
         for i, token in enumerate(page):
             if token in wanted:
                 place[token].append(i)
-    once = classes.pop((1,) * len(pages), [])
-    # in order on all pages: ranks among the class are the same everywhere
-    orders = [sorted(once, key=lambda t, p=p: p[t][0]) for p in places]
-    root = [t for i, t in enumerate(orders[0]) if all(o[i] == t for o in orders)] if orders else []
+    once = [t for vector in [v for v in classes if max(v) == 1] for t in classes.pop(vector)]
+    root = _ordered(once, places, support)
     template = Template(root, defaultdict(list))
-    cuts = [[p[t][0] for t in root] for p in places]
+    # places and numbers of the root's tokens that a page has
+    cuts = [[(p[t][0], i) for i, t in enumerate(root) if t in p] for p in places]
+    for cut in cuts:
+        cut.sort()
     for vector, tokens in classes.items():
         if len(tokens) < 2:
             continue
-        gaps, fits = set(), True
-        order = sorted(tokens, key=lambda t: places[0][t][0])
+        low, high, bad = 0, len(root), 0
+        order = sorted(tokens, key=lambda t, p=places[next(i for i, n in enumerate(vector) if n)]: p[t][0])
         for place, cut, n in zip(places, cuts, vector, strict=True):
-            spots = [place[t] for t in order]
+            spots = [place[t] for t in order] if n else []
             turn = [s[k] for k in range(n) for s in spots]
-            fits = fits and all(a < b for a, b in zip(turn, turn[1:], strict=False))  # a round of all tokens, again and again
-            if not fits:
-                break
-            gaps |= {sum(c < spot for c in cut) for spot in (turn[0], turn[-1])}
-        if fits and len(gaps) == 1:
-            template.nested[gaps.pop()].append(Template(order, defaultdict(list)))
+            if not turn:
+                continue
+            at = bisect_left(cut, (turn[0], 0))
+            # a round of all tokens, again and again, with nothing of the root between the first and the last
+            if at != bisect_left(cut, (turn[-1], 0)) or not all(a < b for a, b in zip(turn, turn[1:], strict=False)):
+                bad += 1
+                continue
+            left, right = cut[at - 1][1] + 1 if at else 0, cut[at][1] if at < len(cut) else len(root)
+            if max(low, left) > min(high, right):
+                bad += 1
+                continue
+            low, high = max(low, left), min(high, right)
+        if sum(n > 0 for n in vector) - bad >= support * len(pages):
+            template.nested[low].append(Template(order, defaultdict(list)))
     return template
 
 
@@ -254,42 +300,71 @@ def main_blocks(page: Page) -> list[Block]:
     return marked or beside or inner
 
 
-def extract(sources: list[str], paths: list[str], shared: bool = True) -> list[str]:
-    """Main texts of pages of one host; ``paths``: of their URLs. Copies of a page count once."""
+def _different(blocks: list[list[Block]], places: list[str]) -> list[int]:
+    """Pages to learn from: of each text one, and of one path's the versions that are not mostly what others of it hold."""
+    texts, known, chosen = set(), defaultdict(set), []
+    for i, (own, place) in enumerate(zip(blocks, places, strict=True)):
+        text = " ".join(b.text for b in own)
+        if not text or text in texts:
+            continue
+        texts.add(text)
+        seen = known[re.sub(r"[?#].*", "", place)]
+        old = [b.text for b in own if b.text in seen]
+        if 2 * len(old) <= len(own) or 2 * sum(map(len, old)) <= sum(len(b.text) for b in own):
+            chosen.append(i)
+            seen.update(b.text for b in own)
+    return chosen
+
+
+def extract(sources: list[str], places: list[str], shared: bool = True, known: set[str] | None = None) -> list[str]:
+    """Main texts of pages of one host; ``places``: their URLs. Copies of a page count once.
+
+    ``known`` holds the template of the host's group before; it serves if these are too few, and is replaced otherwise.
+    """
     pages = [read_page(s) for s in sources]
     blocks = [main_blocks(p) for p in pages]
-    fixed: set[str] = set()
+    fixed: set[str] = known if known is not None else set()
     if shared:
-        texts, known, several = set(), set(), []
-        for page, own, path in zip(pages, blocks, paths, strict=True):
-            text = " ".join(b.text for b in own)
-            if text and text not in texts and path not in known:
-                several.append(page.tokens)
-            texts.add(text)
-            known.add(path)
-        if len(several) >= LEAST_PAGES:
-            fixed = deduce(several).all_tokens()
+        chosen = _different(blocks, places)
+        if len(chosen) >= LEAST_PAGES:
+            found = deduce([pages[i].tokens for i in chosen]).all_tokens()
+            fixed.clear()
+            fixed |= found
     return [" ".join(b.text for b in own if p.tokens[b.place] not in fixed) for p, own in zip(pages, blocks, strict=True)]
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size, key = 0, None
+    known: set[str] = set()
 
-    def done() -> pa.RecordBatch:
-        texts = extract([h[3] for h in held], [re.sub(r"[?#].*", "", h[2] or str(h[1])) for h in held], shared=bool(key[0]))
-        return pa.RecordBatch.from_arrays([pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    def done(rows: list[tuple]) -> pa.RecordBatch:
+        texts = extract([h[3] for h in rows], [h[2] or str(h[1]) for h in rows], bool(key[0]), known)
+        return pa.RecordBatch.from_arrays([pa.array([h[1] for h in rows], pa.int64()), pa.array([h[2] for h in rows], pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     for batch in batches:
         for host, piece, page_id, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and (key != (host, piece) or len(held) == GROUP_PAGES or size > GROUP_CHARS):
-                yield done()
+            if held and key != (host, piece):
+                for rows in _groups(held):
+                    yield done(rows)
                 held, size = [], 0
+                known.clear()
+            elif len(held) >= 2 * GROUP_PAGES or size > GROUP_CHARS and len(held) >= 4 * LEAST_PAGES:
+                half = len(held) // 2
+                yield done(held[:half])
+                held = held[half:]
+                size = sum(len(h[3]) for h in held)
             key = (host, piece)
             held.append((host, page_id, url, source))
             size += len(source)
-    if held:
-        yield done()
+    for rows in _groups(held):
+        yield done(rows)
+
+
+def _groups(held: list[tuple]) -> list[list[tuple]]:
+    """The rest of a host: one group, or two of one size."""
+    half = len(held) // 2 if len(held) > GROUP_PAGES else len(held)
+    return [g for g in (held[:half], held[half:]) if g]
 
 
 def main_text(pages: DataFrame, hot: int = HOT, piece: int = PIECE) -> DataFrame:
