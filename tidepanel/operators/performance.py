@@ -103,13 +103,23 @@ def block_bootstrap(periods: DataFrame, ret: str = "net_ret", trials: int = 1000
     return df.groupBy("trial").agg((F.product(1 + c("r")) - 1).alias("total"), F.try_divide(F.avg("r") * math.sqrt(252.0 / horizon), F.stddev("r")).alias("sharpe"))
 
 
-def random_books(returns: DataFrame, trials: int = 1000, size: int = 10, seed: int = 7) -> DataFrame:
-    """(trial, total): compounded mean return of ``size`` random entities at each date; (dt, ticker, ret) in."""
+def random_books(returns: DataFrame, trials: int = 1000, size: int = 10, seed: int = 7, horizon: int = 21) -> DataFrame:
+    """(trial, total, sharpe): mean return of ``size`` random entities at each date, compounded and by its deviation; (dt, ticker, ret) in."""
     spark = returns.sparkSession
     rows = returns.where("ret is not null").crossJoin(F.broadcast(spark.range(trials).withColumnRenamed("id", "trial")))  # trials are a stated number
     place = F.row_number().over(Window.partitionBy("trial", "dt").orderBy(F.xxhash64("trial", "dt", "ticker", F.lit(seed))))
     daily = rows.withColumn("_p", place).where(c("_p") <= size).groupBy("trial", "dt").agg(F.avg("ret").alias("r"))
-    return daily.groupBy("trial").agg((F.product(1 + c("r")) - 1).alias("total"))
+    return daily.groupBy("trial").agg((F.product(1 + c("r")) - 1).alias("total"), F.try_divide(F.avg("r") * math.sqrt(252.0 / horizon), F.stddev("r")).alias("sharpe"))
+
+
+def against_random(books: DataFrame, periods: DataFrame, ret: str = "net_ret", horizon: int = 21) -> DataFrame:
+    """``books`` with what ``periods`` reached, the shares of books that reach as much (p_value_*), and the percentile by Sharpe; a Sharpe without deviation counts as 0."""
+    year = math.sqrt(252.0 / horizon)
+    actual = periods.agg((F.product(1 + c(ret)) - 1).alias("actual_total"), F.coalesce(F.try_divide(F.avg(ret) * year, F.stddev(ret)), F.lit(0.0)).alias("actual_sharpe"))
+    both = books.crossJoin(F.broadcast(actual))  # one row
+    share = lambda hit: F.avg(hit.cast("int"))
+    p = both.agg(share(c("total") >= c("actual_total")).alias("p_value_return"), share(F.coalesce("sharpe", F.lit(0.0)) >= c("actual_sharpe")).alias("p_value_sharpe"))
+    return both.crossJoin(F.broadcast(p)).withColumn("percentile", (1 - c("p_value_sharpe")) * 100)
 
 
 def power(periods: DataFrame, ret: str = "net_ret", horizon: int = 21) -> DataFrame:

@@ -239,7 +239,7 @@ def shuffled_null(spark, sf_dir):
     from tidepanel.plans.trading import periods
 
     out = periods(spark, sf_dir)[0].select("window_id", "net_ret")
-    trials = out.crossJoin(F.broadcast(spark.range(100).withColumnRenamed("id", "trial")))  # a stated number of trials
+    trials = out.crossJoin(F.broadcast(spark.range(1000).withColumnRenamed("id", "trial")))  # a stated number of trials
     trials = trials.withColumn("place", F.row_number().over(Window.partitionBy("trial").orderBy(F.xxhash64("trial", "window_id"))))
     return trials.groupBy("trial").agg(F.try_divide(F.avg("net_ret") * 12**0.5, F.stddev("net_ret")).alias("sharpe"))
 

@@ -191,10 +191,11 @@ def bootstrap(spark, sf_dir):
 
 @query("v03_random_books")
 def random_books(spark, sf_dir):
-    df = basic(spark, sf_dir)
+    """Books of ten random entities, and how the momentum book stands among them."""
+    reached, _, df = periods(spark, sf_dir)
     grid = rebalance_grid(df)
     held = df.join(F.broadcast(grid), c("dt") == c("at")).select("dt", "ticker", c("fwd_21").alias("ret"))
-    return perf.random_books(held, trials=200)
+    return perf.against_random(perf.random_books(held), reached)
 
 
 _FORESIGHT = f"""
