@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from tidepanel.operators import performance
+from tidepanel.functions import kernels
+from tidepanel.operators import performance, pipelines
 from tidepanel.queries import queries
 
 DATA = Path("/root/testdata/sf0.001")
@@ -25,3 +28,31 @@ def test_a_book_is_placed_among_random_ones(spark):
     got = performance.against_random(books, periods).collect()
     assert len(got) == 4
     assert {(round(r.actual_total, 9), r.actual_sharpe, r.p_value_return, r.p_value_sharpe, r.percentile) for r in got} == {(0.21, 0.0, 0.25, 0.75, 25.0)}
+
+
+def brute_force_information(x, y, k=3):
+    n = len(x)
+    x, y = (x - x.mean()) / (x.std() or 1.0), (y - y.mean()) / (y.std() or 1.0)
+    far = np.maximum(np.abs(x[:, None] - x[None]), np.abs(y[:, None] - y[None]))
+    radius = np.sort(far, axis=1)[:, k]
+    digamma = np.concatenate([[np.nan], -0.5772156649015329 + np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])])
+    counts = [np.maximum(((v[None] < (v + radius)[:, None]) & (v[None] > (v - radius)[:, None])).sum(axis=1), 1) for v in (x, y)]
+    return max(0.0, digamma[n] + digamma[k] - (digamma[counts[0]] + digamma[counts[1]]).mean())
+
+
+def test_nearest_neighbours_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for n in (4, 5, 60, 700, 1500):
+        for x, y in ((rng.normal(size=n), rng.normal(size=n)), (z := rng.standard_t(2, n), z + rng.normal(0, 0.2, n))):
+            assert kernels.knn_mutual_information(x, y) == pytest.approx(brute_force_information(x, y), abs=1e-9)
+
+
+def test_mutual_information_uses_every_row(spark):
+    rng = np.random.default_rng(7)
+    n, names = 360, 30  # 3,600 rows a fold
+    x = rng.normal(size=n * names)
+    df = pd.DataFrame({"dt": np.repeat(pd.date_range("2020-01-01", periods=n), names), "ticker": [f"t{i:02d}" for i in range(names)] * n, "f": x, "y": x + rng.normal(size=n * names)})
+    got = {r.fold: r.mi for r in pipelines.mutual_information(spark.createDataFrame(df), ["f"], "y").collect()}
+    third = n * names // 3
+    want = [kernels.knn_mutual_information(df.f.to_numpy()[k : k + third], df.y.to_numpy()[k : k + third]) for k in range(0, 3 * third, third)]
+    assert sorted(got.values()) == pytest.approx(sorted(want), abs=1e-9)

@@ -143,11 +143,28 @@ def knn_mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
         return 0.0
     scale = lambda v: (v - v.mean()) / (v.std() or 1.0)
     x, y = scale(x), scale(y)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
     radius = np.empty(n)
     for first in range(0, n, 512):
-        part = slice(first, first + 512)
-        far = np.maximum(np.abs(x[part, None] - x[None, :]), np.abs(y[part, None] - y[None, :]))
-        radius[part] = np.partition(far, k, axis=1)[:, k]
+        part = slice(first, min(first + 512, n))
+
+        def nearest(low: int, high: int, part: slice = part) -> np.ndarray:
+            """The k + 1 least distances of the block's points to those from ``low`` to ``high``, themselves included."""
+            least = np.empty((part.stop - part.start, 0))
+            for a in range(low, high, 8192):
+                b = min(a + 8192, high)
+                far = np.maximum(np.abs(x[part, None] - x[None, a:b]), np.abs(y[part, None] - y[None, a:b]))
+                least = np.concatenate([least, far], axis=1)
+                if least.shape[1] > k + 1:
+                    least = np.partition(least, k, axis=1)[:, : k + 1]
+            return least.max(axis=1)
+
+        # what is near in x bounds the distance, and the bound says which others can be nearer
+        low, high = max(0, min(first - 64, n - k - 1)), min(n, part.stop + 64)
+        bound = nearest(low, high) * (1 + 1e-9)
+        low, high = min(low, np.searchsorted(x, (x[part] - bound).min())), max(high, np.searchsorted(x, (x[part] + bound).max(), "right"))
+        radius[part] = nearest(int(low), int(high))
     inside = lambda v: np.searchsorted(s := np.sort(v), v + radius, "left") - np.searchsorted(s, v - radius, "right")
     digamma = np.concatenate([[np.nan], -0.5772156649015329 + np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])])
     nx, ny = np.maximum(inside(x), 1), np.maximum(inside(y), 1)

@@ -33,8 +33,8 @@ def window_filter(ic: DataFrame, floor: float = 0.02, t: float = 1.96, folds: in
     return out.withColumn("kept", (F.abs("ic_mean") > floor) & (F.abs("t_nw") > t) & (c("same_sign") >= 2) & (F.abs("median_ic") >= floor))
 
 
-def mutual_information(df: DataFrame, features: list[str], target: str, folds: int = 3, most: int = 3000) -> DataFrame:
-    """(feature, fold, mi): nearest-neighbour estimate in each contiguous time fold, on at most ``most`` evenly spaced rows."""
+def mutual_information(df: DataFrame, features: list[str], target: str, folds: int = 3) -> DataFrame:
+    """(feature, fold, mi): nearest-neighbour estimate in each contiguous time fold, on all its rows."""
     from tidepanel.operators.selection import _positions
 
     rows = ics.long(df.withColumn("_y", c(target)), features, ("dt", "ticker", "_y")).where("value is not null and _y is not null")
@@ -42,7 +42,6 @@ def mutual_information(df: DataFrame, features: list[str], target: str, folds: i
 
     def estimate(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["dt", "ticker"])
-        part = part.iloc[np.unique(np.linspace(0, len(part) - 1, min(len(part), most)).astype(int))]
         return pd.DataFrame({"feature": [part["feature"].iloc[0]], "fold": [int(part["fold"].iloc[0])], "mi": [kernels.knn_mutual_information(part["value"].to_numpy(float), part["_y"].to_numpy(float))]})
 
     return rows.select("feature", "fold", "dt", "ticker", "value", "_y").groupBy("feature", "fold").applyInPandas(estimate, "feature string, fold int, mi double")
