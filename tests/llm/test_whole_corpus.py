@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import blob_ledger, template_ec
+from tidepanel.llm import blob_ledger, langid_ecoc, template_ec
 from tidepanel.llm.common import materialize, ready
 
 
@@ -76,3 +77,31 @@ def test_pages_told_apart_by_their_query_are_different_pages(spark):
 def test_a_page_of_another_layout_spoils_no_template(spark):
     rows = [(i, f"http://h.com/{i}", _article(i)) for i in range(63)] + [(63, "http://h.com/63", "<html><body><main><div>Quite another page</div></main></body></html>")]
     assert _texts(spark, rows) == {i: f"Title {i} body of {i}" for i in range(63)} | {63: "Quite another page"}
+
+
+def test_every_language_is_learned(spark):
+    """One language more than were once learned, and all have the same number of documents but the last."""
+    ready(spark)
+    rng = random.Random(12)
+    rows, names = [], [f"l{k:03d}" for k in range(201)]
+    for k, name in enumerate(names):
+        stems = "".join(chr(0x4E00 + 40 * k + j) for j in range(6))
+        rows += [(len(rows) + i, " ".join("".join(rng.choice(stems) for _ in range(4)) for _ in range(20)), name) for i in range(12 if k < 200 else 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid_ecoc.fit(df).languages == names
+    got = {r.doc_id: r.lang_pred for r in langid_ecoc.identify(df).collect()}
+    assert all(got[i] == name for i, _, name in rows if name == names[-1])
+    assert sum(got[i] == name for i, _, name in rows) >= 0.98 * len(rows)
+
+
+def test_the_sample_is_that_of_least_hash(spark, monkeypatch):
+    ready(spark)
+    rows = [(i, f"{'aä'[i % 2]} " * (1 + i % 50) + f"w{i}", "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid_ecoc, "Model", lambda languages, x, y: x)
+    got = langid_ecoc.fit(df)
+    want = df.where(langid_ecoc.crc_fold(F.col("doc_id"), 4) != 2).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).limit(400).collect()
+    raw = [r.text.encode() for r in want]
+    at = np.cumsum([0, *map(len, raw)])
+    whole = langid_ecoc.features(np.frombuffer(b"".join(raw), np.uint8), at)
+    assert np.allclose(np.sort(got, axis=0), np.sort(whole, axis=0), atol=1e-6)

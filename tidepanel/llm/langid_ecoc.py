@@ -9,6 +9,7 @@ document as ambiguous.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,9 +22,9 @@ from tidepanel.llm.textkernel import slices
 
 #: Hashed features of a text.
 FEATURES = 4096
-#: Labelled documents of a language that the classifiers are fitted on, and languages, at most.
-#: All languages together get at most FIT_ROWS documents.
-PER_LANGUAGE, LANGUAGES, FIT_ROWS = 400, 200, 2000
+#: Labelled documents of a language that the classifiers are fitted on, at most.
+#: All languages together get at most FIT_ROWS documents, but each LEAST_ROWS if it has them.
+PER_LANGUAGE, FIT_ROWS, LEAST_ROWS = 400, 2000, 5
 #: Strength of the ridge penalty.
 RIDGE = 0.3
 #: A document is ambiguous if its score is below.
@@ -48,7 +49,7 @@ def codewords(languages: int) -> np.ndarray:
         return np.array([[1 if bit >> k & 1 else -1 for bit in bits] for k in range(languages)], float)
     draw = np.random.default_rng(0)
     bits = 15 * math.ceil(math.log2(languages))
-    best = max((draw.choice([-1.0, 1.0], (languages, bits)) for _ in range(50)), key=lambda code: -np.max(code @ code.T - np.diag(np.full(languages, bits + 1))))
+    best = max((draw.choice([-1.0, 1.0], (languages, bits)) for _ in range(max(2, min(50, 10**8 // languages**2)))), key=lambda code: -np.max(code @ code.T - np.diag(np.full(languages, bits + 1))))
     return best[:, np.abs(best.sum(axis=0)) < languages]
 
 
@@ -82,7 +83,7 @@ def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, raw, at in slices(batch.column(1), 1 << 18):
             x = features(raw, at).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
 
 
 class Model:
@@ -99,13 +100,18 @@ class Model:
         level = np.average(goal, axis=0, weights=weight[:, 0] ** 2)
         x -= mean
         x *= weight
-        self.w = x.T @ np.linalg.solve(x @ x.T + RIDGE * np.eye(len(x)), (goal - level) * weight)
+        goal = (goal - level) * weight
+        if len(x) <= FEATURES:
+            self.w = x.T @ np.linalg.solve(x @ x.T + RIDGE * np.eye(len(x)), goal)
+        else:  # the same weights from the smaller system
+            self.w = np.linalg.solve(x.T @ x + RIDGE * np.eye(FEATURES), x.T @ goal)
         self.shift = level - mean @ self.w
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the chosen language, score): loss-weighted decoding."""
         out = x @ self.w + self.shift
-        loss = np.log1p(np.exp(-2 * STEEP * out[:, None, :] * self.code[None])).mean(axis=2)
+        plus = self.code > 0
+        loss = (np.logaddexp(0, -2 * STEEP * out) @ plus.T + np.logaddexp(0, 2 * STEEP * out) @ ~plus.T) / self.code.shape[1]
         share = np.exp(-8 * (loss - loss.min(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
         return share.argmax(axis=1), share.max(axis=1)
@@ -116,21 +122,24 @@ def fit(docs: DataFrame, parts: int = 4, held: int = 2) -> Model:
     rows = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         (crc_fold(F.col("d"), parts) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, FEATURES)), np.zeros(0, int))
-    most = min(PER_LANGUAGE, FIT_ROWS // len(languages))
+    most = min(PER_LANGUAGE, max(LEAST_ROWS, FIT_ROWS // len(languages)))
     top = 1 << 30
     # a language's share of the hash range leaves somewhat more than are wanted
-    cut = F.create_map(*(v for k in languages for v in (F.lit(k), F.lit(int(min(1.0, (most + 6 * math.sqrt(most) + 6) / sizes[k]) * top)))))
-    chosen = rows.where((F.pmod(F.xxhash64("d"), F.lit(top)) < F.coalesce(cut[F.col("lang")], F.lit(0))))
-    got = chosen.select("lang", "text", F.xxhash64("d").alias("h")).mapInArrow(lambda it: lean(_sampled(pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["lang", "text"]) for b in it)), "lang string, x binary").toArrow()
-    x, y = np.empty((most * len(languages), FEATURES)), []
-    for lang, features_ in sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True)):
-        if y.count(k := languages.index(lang)) < most:
+    cuts = docs.sparkSession.createDataFrame([(k, int(min(1.0, (most + 6 * math.sqrt(most) + 6) / n) * top)) for k, n in sizes.items()], "of string, cut long")
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("d"), F.lit(top)))
+    chosen = hashed.join(F.broadcast(cuts), F.col("lang") == F.col("of")).where(F.col("h") < F.col("cut"))
+    got = chosen.select("lang", "text", "h").mapInArrow(lambda it: lean(_sampled(it)), "lang string, h long, x binary").toArrow()
+    number = {k: i for i, k in enumerate(languages)}
+    x, y, taken = np.empty((sum(min(most, n) for n in sizes.values()), FEATURES)), [], Counter()
+    for lang, _, features_ in sorted(zip(got["lang"].to_pylist(), got["h"].to_pylist(), got["x"].to_pylist(), strict=True)):
+        if taken[lang] < most:
+            taken[lang] += 1
             x[len(y)] = np.frombuffer(features_, "<f4")
-            y.append(k)
+            y.append(number[lang])
     return Model(languages, x[: len(y)], np.array(y, int))
 
 
