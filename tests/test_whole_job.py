@@ -56,3 +56,21 @@ def test_mutual_information_uses_every_row(spark):
     third = n * names // 3
     want = [kernels.knn_mutual_information(df.f.to_numpy()[k : k + third], df.y.to_numpy()[k : k + third]) for k in range(0, 3 * third, third)]
     assert sorted(got.values()) == pytest.approx(sorted(want), abs=1e-9)
+
+
+def test_features_that_flip_their_sign_are_out(spark):
+    rng = np.random.default_rng(8)
+    n, names = 80, 10
+    y = rng.normal(size=n * names)
+    late = np.repeat(np.arange(n) >= 60, names)
+    df = pd.DataFrame({"dt": np.repeat(pd.date_range("2020-01-01", periods=n), names), "ticker": [f"t{i}" for i in range(names)] * n, "rv_5": y, "tail_event": (y > 1).astype(float)})
+    df["steady"], df["flips"] = y + rng.normal(size=len(y)), np.where(late, -y, y) + rng.normal(size=len(y))
+    df = spark.createDataFrame(df)
+    assert [r.feature for r in pipelines.sign_flips(df, ["steady", "flips"], "rv_5").collect()] == ["flips"]
+    got = pipelines.risk_scores(df, ["steady", "flips"], {"steady": "a", "flips": "b"}).collect()
+    assert [r.feature for r in got] == ["steady"]
+
+
+def test_names_of_queries_claim_only_what_is_built():
+    numbers = {part for name in queries() for part in name.split("_")}
+    assert not numbers & {"l08", "l18", "b05", "v01"}

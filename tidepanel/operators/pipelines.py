@@ -121,9 +121,26 @@ def risk_targets(df: DataFrame) -> DataFrame:
     return df.withColumn("liq_target", w.flag(w.percent_rank(c("volume")) < 0.2))
 
 
-def risk_scores(df: DataFrame, features: list[str], families: dict[str, str], floor: float = 0.05, segments: int = 4, per_family: int = 5, cap: int = 30) -> DataFrame:
+def sign_flips(df: DataFrame, features: list[str], target: str, segments: int = 4, band: float = 0.05, least: int = 50, dates: int = 10) -> DataFrame:
+    """Features of which a segment of the calendar has a rank correlation over its rows of the other sign than all rows, beyond ``band``.
+
+    Segments of under ``least`` rows do not count, and none do where there are fewer than ``dates`` dates a segment.
+    """
+    from tidepanel.operators.selection import _positions
+
+    rows = ics.long(df.withColumn("_y", c(target)), features, ("dt", "ticker", "_y")).where("value is not null and _y is not null")
+    calendar = _positions(df, segments, "segment").withColumn("_d", F.count("*").over(Window.partitionBy())).where(c("_d") >= segments * dates)
+    rows = rows.join(F.broadcast(calendar), "dt")
+    rows = rows.withColumns({"rx": w.percent_rank(c("value"), keys=("feature", "segment")), "ry": w.percent_rank(c("_y"), keys=("feature", "segment"))})
+    parts = rows.groupBy("feature", "segment").agg(ics.safe_corr(c("rx"), c("ry")).alias("part"), F.count("*").alias("k")).where(c("k") >= least)
+    whole = ics.pooled_ic(df, features, target).select("feature", "ic")
+    other = F.when(c("ic") > 0, -c("part")).otherwise(c("part"))
+    return parts.join(whole, "feature").where(other > band).select("feature").distinct()
+
+
+def risk_scores(df: DataFrame, features: list[str], families: dict[str, str], floor: float = 0.05, segments: int = 4, per_family: int = 5, cap: int = 30, band: float = 0.05) -> DataFrame:
     """(feature, vol, tail, stab, score, place): rank correlation with volatility, area for the tail event, share of segments of one
-    sign; normalised by rank and weighted; the best of each family, then of all."""
+    sign; features with a segment of the other sign beyond ``band`` are out; normalised by rank and weighted; the best of each family, then of all."""
     from tidepanel.operators import lab
     from tidepanel.operators.selection import _positions
 
@@ -135,7 +152,8 @@ def risk_scores(df: DataFrame, features: list[str], families: dict[str, str], fl
     ic = ics.daily_ic(df, features, "rv_5")
     parts = ic.join(F.broadcast(_positions(ic, segments, "segment")), "dt").groupBy("feature", "segment").agg(F.avg("ic").alias("m"))
     stab = parts.join(vol.select("feature", "ic"), "feature").groupBy("feature").agg(F.avg((F.signum("m") == F.signum("ic")).cast("int")).alias("stab"))
-    out = vol.join(tails, "feature").join(stab, "feature").where(c("vol") >= floor)
+    flips = sign_flips(df, features, "rv_5", segments, band)
+    out = vol.join(tails, "feature").join(stab, "feature").where(c("vol") >= floor).join(flips, "feature", "left_anti")
     norm = lambda m: F.coalesce(F.percent_rank().over(Window.orderBy(m)), F.lit(0.0))
     out = out.withColumn("score", 0.4 * norm("vol") + 0.4 * norm("tail") + 0.2 * norm("stab"))
     named = F.create_map(*(v for f in features for v in (F.lit(f), F.lit(families[f]))))

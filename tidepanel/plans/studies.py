@@ -120,7 +120,7 @@ def pools(spark, sf_dir):
     return spark.createDataFrame(rows, "rule string, n int, max_corr double, mean_corr double, condition double, features array<string>")
 
 
-@query("a19_l08_mutual_information")
+@query("a19_mutual_information")
 def mutual_information(spark, sf_dir):
     return pl.mutual_information(wide(spark, sf_dir), FEATURES, "y")
 
@@ -150,7 +150,7 @@ WITH {_BASIC_FROM} SELECT dt, ticker, round(coalesce({rank_pct('mom')}, 0.5) * 0
 """
 
 
-@query("d03_l18_rank_combination", _COMBINED)
+@query("d03_rank_combination", _COMBINED)
 def rank_combination(spark, sf_dir):
     df = basic(spark, sf_dir)
     return shown(df.withColumn("score", pl.rank_combination(df, {"mom": 0.7, "vol": -0.3})), ["score"])
@@ -178,7 +178,7 @@ SELECT feature, round(0.5 * 100 * (1 - ra / (n - 1.0)) + 0.3 * 100 * (1 - rb / (
 """
 
 
-@query("b04_b05_composite", _COMPOSITE)
+@query("b04_composite", _COMPOSITE)
 def composite(spark, sf_dir):
     m = ics.summary(daily(spark, sf_dir)).select("feature", F.abs("ic_mean").alias("a"), F.abs("ir").alias("b"), c("ic_std").alias("s"))
     return lab.composite(m, {"a": 0.5, "b": 0.3, "s": 0.2}, lower_better=("s",)).select("feature", w.rounded("composite", 5))

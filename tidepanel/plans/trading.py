@@ -225,7 +225,7 @@ UNION ALL SELECT 'null_closes', CAST(count(*) FILTER (close IS NULL) AS DOUBLE)
 """
 
 
-@query("v01_p22_audit", _AUDIT)
+@query("p22_audit", _AUDIT)
 def audit(spark, sf_dir):
     return un.audit(basic(spark, sf_dir))
 
