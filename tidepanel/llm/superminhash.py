@@ -31,11 +31,12 @@ _U = np.uint64
 
 #: 32 bands of 3: two sets at similarity 0.75 miss all bands with a chance of 2e-8.
 ROWS, BANDS = 3, 32
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2048
+#: Members of a bucket, and elements of their sets, that one task compares with as many others.
+BLOCK, ELEMENTS = 2048, 1 << 21
 #: Comparisons on 32-bit elements decide outside this margin, on 64-bit elements inside.
 MARGIN = 0.005
-#: Estimates of SuperMinHash (standard error 0.044 at 0.75 for 96 slots) rule a pair out below.
+#: Estimates of SuperMinHash (standard error 0.044 at 0.75 for 96 slots) rule a pair out below: over five
+#: standard errors, a chance below 1e-8 for a pair at the threshold.
 LEAST_ESTIMATE = 0.5
 
 
@@ -150,22 +151,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, wide: bool) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lambda it: lean(_compared(it, wide)), "a long, b long, both long, all long")
 
 
+def _portions(sets: list[np.ndarray], most: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """``sets`` in order, about ``most`` elements at a time: a signature's scratch space is 96 bytes an element."""
+    part, size = [], 0
+    for s in sets:
+        part.append(s)
+        size += len(s)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _within(batches: Iterable[pa.RecordBatch], threshold: float, m: int) -> Iterator[pa.RecordBatch]:
-    """Links between the members of a block, or of two, of one bucket."""
-    reach = 1 - threshold + 1e-9
+    """Candidates for links between the members of a block, or of two, of one bucket.
+
+    Members that are known to be linked share ``comp``. Distances are those of 32-bit sets, so all they rule out
+    is beyond the margin that collisions may cost.
+    """
+    reach = 1 - threshold + MARGIN
     for (_, _, i, j), group in rows_by_key(batches, ["key", "kind", "i", "j"]):
         ids, comp, far = (group.column(c).to_numpy() for c in ("id", "comp", "far"))
         side, band = group.column("side").to_numpy(), int(group.column("band")[0].as_py())
         keys = np.stack(group.column("bands").to_numpy(zero_copy_only=False)) if len(ids) else None
         sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("elements")]
-        values, size = signatures([s.astype(_U) for s in sets], m), np.array([len(s) for s in sets])
+        values, size = np.concatenate([signatures([s.astype(_U) for s in part], m) for part in _portions(sets)]), np.array([len(s) for s in sets])
         joined, found = UnionFind(), []
         tops, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if i == j:
             others = np.arange(len(ids))
         for p in tops.tolist():
             q = others if i != j else others[(others > p) | (side[others] == 1)]
-            q = q[(comp[q] != comp[p]) & (np.abs(far[q] - far[p]) <= reach) & ((far[q] > reach) | (far[p] > reach))]
+            q = q[(comp[q] != comp[p]) & (np.abs(far[q] - far[p]) <= reach)]
             q = q[np.minimum(size[q], size[p]) >= (threshold - MARGIN) * np.maximum(size[q], size[p])]
             if band and len(q):
                 q = q[~(keys[q, :band] == keys[p, :band]).any(axis=1)]
@@ -186,7 +204,7 @@ def _within(batches: Iterable[pa.RecordBatch], threshold: float, m: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK, elements: int = ELEMENTS) -> DataFrame:
     """Group documents whose sets of n-word shingles have 100 * overlap >= percent * union.
 
     Reads doc_id (long) and text of ``docs``; other columns, whatever their names, are ignored.
@@ -233,20 +251,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
         .join(groups, "id", "left")
         .select("key", "band", "id", "size", F.coalesce("component", "id").alias("comp"), F.coalesce("far", F.lit(0.0)).alias("far"))
     )
-    reach = F.lit(1 - at + 1e-9)
+    reach = F.lit(1 - at + 1e-9)  # of links; what it rules out keeps a margin
     open_buckets = materialize(
         placed.groupBy("key")
         .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.when(F.col("far") > reach - F.lit(MARGIN), F.col("far"))).alias("least"), F.count("*").alias("n"))
         .where("c0 < c1 and least is not null")
         .select("key", "least", "n")
     )
-    rest = placed.join(open_buckets, "key").where(F.col("far") >= F.col("least") - reach)
+    rest = placed.join(open_buckets, "key").where(F.col("far") >= F.col("least") - reach - F.lit(MARGIN))
     # only sets of similar size can be linked: in a large bucket a member stays in its size class and visits the one below
     large = F.col("n") > F.lit(block)
     rest = (
         rest.withColumn("kind", F.when(large, F.floor(F.ln("size") / F.lit(math.log(1 / at)) + F.lit(1e-9)).cast("int")).otherwise(F.lit(0)))
         .withColumn("visit", F.explode(F.when(large, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        .select("key", (F.col("kind") - F.col("visit")).alias("kind"), "visit", "id", "comp", "far", "band")
+        .select("key", (F.col("kind") - F.col("visit")).alias("kind"), "visit", "id", "size", "comp", "far", "band")
     )
     rest = materialize(rest)
     split = (
@@ -255,7 +273,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
             F.min("comp").alias("c0"),
             F.max("comp").alias("c1"),
             F.max("far").alias("most"),
-            *(F.ceil(F.count(F.when(F.col("visit") == v, 1)) / F.lit(block)).cast("int").alias(name) for v, name in ((0, "homes"), (1, "visits"))),
+            *(
+                F.ceil(F.greatest(F.count(F.when(F.col("visit") == v, 1)) / F.lit(block), F.coalesce(F.sum(F.when(F.col("visit") == v, F.col("size"))), F.lit(0)) / F.lit(elements))).cast("int").alias(name)
+                for v, name in ((0, "homes"), (1, "visits"))
+            ),
         )
         .where((F.col("homes") > 0) & (F.col("c0") < F.col("c1")) & (F.col("most") > reach - F.lit(MARGIN)))
         .select("key", "kind", "homes", "visits")
