@@ -100,7 +100,7 @@ def test_the_sample_is_that_of_least_hash(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     monkeypatch.setattr(langid_ecoc, "Model", lambda languages, x, y: x)
     got = langid_ecoc.fit(df)
-    want = df.where(langid_ecoc.crc_fold(F.col("doc_id"), 4) != 2).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).limit(400).collect()
+    want = df.where(langid_ecoc.crc_fold(F.col("doc_id"), 4) != 2).orderBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))).limit(400).collect()
     raw = [r.text.encode() for r in want]
     at = np.cumsum([0, *map(len, raw)])
     whole = langid_ecoc.features(np.frombuffer(b"".join(raw), np.uint8), at)

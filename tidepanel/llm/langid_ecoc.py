@@ -118,23 +118,24 @@ class Model:
 
 
 def fit(docs: DataFrame, parts: int = 4, held: int = 2) -> Model:
-    """Fit on at most PER_LANGUAGE documents a language: those of least hash among the learning fold."""
+    """Fit on at most PER_LANGUAGE documents a language: those of least hash among the learning fold. A repeated row counts once."""
     rows = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         (crc_fold(F.col("d"), parts) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    top = 1 << 30
+    keyed = rows.withColumn("k", F.xxhash64("d", "text")).withColumn("h", F.pmod("k", F.lit(top)))
+    sizes = {r.lang: max(1, r.n) for r in keyed.groupBy("lang").agg(F.approx_count_distinct("k").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, FEATURES)), np.zeros(0, int))
     most = min(PER_LANGUAGE, max(LEAST_ROWS, FIT_ROWS // len(languages)))
-    top = 1 << 30
-    # a language's share of the hash range leaves somewhat more than are wanted
-    cuts = docs.sparkSession.createDataFrame([(k, int(min(1.0, (most + 6 * math.sqrt(most) + 6) / n) * top)) for k, n in sizes.items()], "of string, cut long")
-    hashed = rows.withColumn("h", F.pmod(F.xxhash64("d"), F.lit(top)))
-    chosen = hashed.join(F.broadcast(cuts), F.col("lang") == F.col("of")).where(F.col("h") < F.col("cut"))
-    got = chosen.select("lang", "text", "h").mapInArrow(lambda it: lean(_sampled(it)), "lang string, h long, x binary").toArrow()
+    # a language's share of the hash range leaves somewhat more than are wanted; sizes are known to some 5 %
+    cuts = docs.sparkSession.createDataFrame([(k, int(min(1.0, 1.3 * (most + 6 * math.sqrt(most) + 6) / n) * top)) for k, n in sizes.items()], "of string, cut long")
+    chosen = keyed.join(F.broadcast(cuts), F.col("lang") == F.col("of")).where(F.col("h") < F.col("cut"))
+    once = chosen.groupBy("lang", "k").agg(F.any_value("text").alias("text"), F.any_value("h").alias("h"))
+    got = once.select("lang", "text", "h").mapInArrow(lambda it: lean(_sampled(it)), "lang string, h long, x binary").toArrow()
     number = {k: i for i, k in enumerate(languages)}
-    x, y, taken = np.empty((sum(min(most, n) for n in sizes.values()), FEATURES)), [], Counter()
+    x, y, taken = np.empty((min(most * len(languages), len(got)), FEATURES)), [], Counter()
     for lang, _, features_ in sorted(zip(got["lang"].to_pylist(), got["h"].to_pylist(), got["x"].to_pylist(), strict=True)):
         if taken[lang] < most:
             taken[lang] += 1
@@ -167,7 +168,8 @@ def identify(docs: DataFrame, parts: int = 4, held: int = 2, ambiguous: float =
     crc32(doc_id as text) mod ``parts`` not ``held``. Returns doc_id, held_out (false for a null
     doc_id), lang_pred, score (0 to 1) and ambiguous (lang_pred is ``und`` or the score is low), a
     row for each row, and carried, a struct of the columns of ``carry`` as they are. A text that is null or without a letter, and every text if nothing
-    could be learned, is ``und`` with score 0. Other columns are ignored; repeated rows are kept.
+    could be learned, is ``und`` with score 0. Every language with a document to learn from can be predicted. Other
+    columns are ignored; repeated rows are kept.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, parts, held))
     carry = carry or []
