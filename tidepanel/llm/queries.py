@@ -95,7 +95,13 @@ def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> st
   WHERE length(g[i]) >= {least}"""
 
 
-_SPANS = " UNION ALL ".join(_spans_sql(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(blob_ledger.RULES))
+#: The base rules in the contract's own words; what the method adds is taken as it is.
+_BASE = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+]
+_SPANS = " UNION ALL ".join(_spans_sql(r[0], k, *r[1:]) for k, r in enumerate(_BASE + [(r.kind, r.pattern, r.group, r.least) for r in blob_ledger.RULES[len(_BASE) :]]))
 _SPELLED = "string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k)"
 
 ORACLES: dict[str, str] = {
