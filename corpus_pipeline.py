@@ -25,19 +25,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates; one row of repeated ones. Null ids stay."""
+    """Keep one document of each group of near-duplicates; one row of those with equal id and text. Null ids stay."""
     ready(spark)
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    one = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id is null")).select(*docs.columns)
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    one = rows.join(kept, "id", "left_semi").dropDuplicates(["id", "text"])
+    return one.union(rows.where("id is null")).select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret found in a text by a mark; all documents stay."""
+    """Replace every secret found in a text by a mark, and n_chars, where there is such a column, by the new length; all documents stay."""
     ready(spark)
     ledger = materialize(blob_ledger.scan(docs, blob_ledger.empty_ledger(spark)))
-    clean = blob_ledger.findings(docs, ledger).withColumn("text", blob_ledger.redact(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    clean = blob_ledger.findings(rows, ledger).withColumn("text", blob_ledger.redact(F.col("text"), F.col("spans")))
+    value = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in value:
+        value["n_chars"] = F.when(F.size("spans") > 0, F.length("text")).otherwise(value["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return clean.select(*(value[c].alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,10 +21,13 @@ BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Only where the session names none, as in tests on one machine, a temporary one is set.
+    Only where the session names none and runs on one machine, as in tests, a temporary one is set.
+    On a cluster without the setting nothing is written: executors would each see a folder of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidepanel.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidepanel-")
         spark.conf.set("tidepanel.shared.dir", named)
     return named.rstrip("/")
@@ -55,7 +58,10 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import this package, whatever folder they start in, and send them short batches."""
+    """Let Python workers on this machine import this package, whatever folder they start in, and send them short batches.
+
+    The batch length is a setting of the session: a larger one is lowered to ROWS and stays so.
+    """
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(":"):
