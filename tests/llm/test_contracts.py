@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import random
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidepanel.llm import common, langid_ecoc, quality_llr, superminhash
+from tidepanel.llm import common, langid_ecoc, quality_llr, superminhash, warc_index
 from tidepanel.llm.common import ready
 
 
@@ -124,3 +126,41 @@ def test_blocks_are_bounded_by_their_elements(spark, elements):
             w[(k * 5) % 120] = f"n{c}x{k}"
     got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), elements=elements).collect()
     assert {r.component_id for r in got} == {c * 100 for c in range(6)} and all(r.component_id == r.doc_id // 100 * 100 for r in got)
+
+
+def test_archives_are_read_by_offset_and_merged_in_ranges(spark, tmp_path):
+    ready(spark)
+    rng = random.Random(4)
+    rows = [(i, f"http://h{i % 7}.com/{rng.randrange(40)}", f"<p>{prose(rng, rng.randrange(300))} é {i % 5}</p>") for i in range(300)] + [(None, None, None), (3, "http://h.com/x y", "x" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = str(tmp_path / "w")
+    warc_index.write_archives(pages, path, archive_bytes=20_000)
+    runs = common.materialize(warc_index.read_archives(spark, path))
+    merged = warc_index.merge_index(runs, 50)
+    assert merged.rdd.getNumPartitions() == 7
+    got = merged.collect()
+    key = [(r.urlkey, r.stamp, r.page_id is not None, r.page_id or 0) for r in got]
+    assert key == sorted(key) and len(got) == len(rows)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "w").iterdir() if f.name.startswith("part") and f.stat().st_size}
+    assert len(files) > 5 and sorted({r.file for r in got}) == sorted(files)
+    for r in got:
+        record = gzip.decompress(files[r.file][r.offset : r.offset + r.length])
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and f"<urn:x-tidepanel:page:{'none' if r.page_id is None else r.page_id}>".encode() in record
+        if r.record_type == "response":
+            assert hashlib.sha1(record[:-4].split(b"\r\n\r\n", 2)[2]).hexdigest() == r.payload_digest
+    for data in files.values():  # archives are gzip files as a whole, too, closed at the record that reaches the bound
+        assert gzip.decompress(data).endswith(b"\r\n\r\n")
+        last = max((r for r in got if files[r.file] == data), key=lambda r: r.offset)
+        assert last.offset < 20_000 and last.offset + last.length == len(data)
+
+
+def test_a_very_long_record_is_several_members(monkeypatch):
+    monkeypatch.setattr(warc_index, "MEMBER_BYTES", 1000)
+    body = random.Random(1).randbytes(5000)
+    record = lambda n, b: f"WARC/1.1\r\nWARC-Record-ID: <{n}>\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b
+    packed = [warc_index._members(record(n, b)) for n, b in ((1, b"x"), (2, body), (3, b""))]
+    found = list(warc_index.parse_archive(b"".join(packed)))
+    assert [f[3] for f in found] == [b"x", body, b""] and [f[1] for f in found] == [len(p) for p in packed]
+    assert all(p.endswith(b"\0") for p in packed)
+    with pytest.raises(ValueError, match="no end"):
+        list(warc_index.parse_archive(b"".join(packed)[:-10]))

@@ -293,7 +293,7 @@ def test_warc_round_trip(spark, pages, tmp_path):
             first[p] = max(first.get(p, i), i)
     want = {(i, len(p), hashlib.sha1(p).hexdigest(), *(("revisit", first[p]) if i is not None and len(p) >= 1000 and i != first[p] else ("response", None))) for i, p in rows}
     assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
-    order = [(r.urlkey, r.stamp, r.page_id is None, r.page_id or 0) for r in got]
+    order = [(r.urlkey, r.stamp, r.page_id is not None, r.page_id or 0) for r in got]
     assert order == sorted(order)
     assert any(r.record_type == "revisit" for r in got)
 
