@@ -322,6 +322,45 @@ def test_encoding_equals_the_library(spark, docs):
     assert all(r.n_tokens * 4 == len(r.ids) for r in got)
 
 
+def goals(sizes):
+    """Targets by the contract's words: weights 3, 1, 2, 150 % of all, at most twice, the excess reshared until none is above."""
+    left, found, open_ = 1.5 * sum(sizes), {}, dict(enumerate(sizes))
+    while open_:
+        total = sum((3, 1, 2)[i % 3] for i in open_)
+        above = [i for i, n in open_.items() if left * (3, 1, 2)[i % 3] / total > 2 * n]
+        if not above:
+            found |= {i: left * (3, 1, 2)[i % 3] / total for i in open_}
+            break
+        found |= {i: 2.0 * open_.pop(i) for i in above}
+        left = 1.5 * sum(sizes) - sum(2 * sizes[i] for i in range(len(sizes)) if i not in open_)
+    return [found[i] for i in range(len(sizes))]
+
+
+def mixed_by_hand(rows, block, shard_slots, seed=mixing.SEED):
+    """taken of each (start, source number): the plan without tables. ``rows``: (doc_id, key, source number, size) in their sources' order."""
+    sizes = collections.Counter()
+    start = {}
+    for doc, key, s, n in rows:
+        start.setdefault((s, doc, key), []).append(sizes[s])
+        sizes[s] += n
+    sources = sorted(sizes)
+    goal = dict(zip(sources, goals([sizes[s] for s in sources]), strict=True))
+    blocks = {s: -(-sizes[s] // block) for s in sources}
+    expected = {s: goal[s] * blocks[s] / sizes[s] if sizes[s] else 0.0 for s in sources}
+    shards = max(1, -(-sum(math.ceil(e) for e in expected.values()) // shard_slots))
+    whole = {s: math.floor(expected[s] / shards) for s in sources}
+    p = {s: round((expected[s] / shards - whole[s]) * 2**32) for s in sources}
+    slots, total, chosen = collections.Counter(), sum(p.values()), [s for s in sources if p[s]]
+    for shard in range(shards):
+        slots.update(whole)
+        if n := (shard + 1) * total // 2**32 - shard * total // 2**32:
+            share = np.array([p[s] for s in chosen], float)
+            for s, k in zip(chosen, np.random.default_rng([seed, 0, shard, 0]).multinomial(n, share / share.sum()).tolist(), strict=True):
+                slots[s] += k
+    times = {s: collections.Counter(mixing.permuted(np.arange(min(slots[s], 2 * blocks[s])) % max(blocks[s], 1), max(blocks[s], 1), seed + s).tolist()) for s in sources}
+    return sorted((doc, n, sum(times[s][w // block] for w in range(at, at + n))) for (s, doc, key), places in start.items() for at, n in zip(places, [r[3] for r in rows if (r[2], r[0], r[1]) == (s, doc, key)], strict=True))
+
+
 def test_mix(spark, docs):
     got = mixing.taken(docs).collect()
     assert len(got) == docs.count()
@@ -329,39 +368,56 @@ def test_mix(spark, docs):
     for _, t, _, source in rows_of(docs):
         sizes[source] += len(words(t))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    goal = dict(zip(order, mixing.targets([sizes[s] for s in order]), strict=True))
+    goal = dict(zip(order, goals([sizes[s] for s in order]), strict=True))
     assert sum(goal.values()) == pytest.approx(1.5 * sum(sizes.values()))
-    assert all(goal[s] <= 2 * sizes[s] + 1e-9 for s in order)
-    by_target = collections.Counter()
+    per = collections.Counter()
     for r in got:
         assert r.taken <= 2 * r.size
-        by_target[round(r.target, 6)] += r.taken
-    assert by_target == {round(goal[s], 6): round(goal[s]) for s in order}
+        per[round(r.target, 6)] += r.taken
+    assert set(per) == {round(goal[s], 6) for s in order}
+    assert all(abs(per[round(g, 6)] - g) <= 3 * mixing.BLOCK for g in goal.values())
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.taken(docs.repartition(7)).collect()))
     texts = mixing.mixed(docs)
     assert texts.columns == docs.columns
-    per = collections.Counter()
+    found = collections.Counter()
     whole = {(i, w) for i, t, *_ in rows_of(docs) for w in words(t)}
     for r in texts.collect():
-        per[r.source] += len(words(r.text))
+        found[r.source] += len(words(r.text))
         assert all((r.doc_id, w) in whole for w in words(r.text)) and r.n_chars == len(r.text)
-    assert dict(per) == {s: round(goal[s]) for s in order if round(goal[s])}
-
-
-def test_permutations_and_slots():
+    assert {round(goal[s], 6): n for s, n in found.items()} == {g: n for g, n in per.items() if n}
+
+
+@pytest.mark.parametrize(("block", "shard_slots", "fan"), [(16, 8192, 1024), (4, 20, 1024), (8, 50, 2)])
+def test_mix_equals_the_plan_by_hand(spark, block, shard_slots, fan, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, rng.randrange(0, 60)), f"s{rng.randrange(7)}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    if fan == 2:
+        made = mixing.drawn(spark.createDataFrame([(s, e) for s, e in enumerate([0.0, 0.3, 7.25, 3.0, 0.01, 90.5, 11.9])], "s long, expected double"), 5, fan=2).collect()
+        sums = collections.Counter()
+        for r in made:
+            sums[r.s] += r.n
+        assert sums[3] in range(6) and abs(sums[5] - 90.5) <= 5 and sum(sums.values()) == 112 and not sums[0]
+        return
+    plan = mixing.plan(df, block=block, shard_slots=shard_slots)
+    order = {r.doc_id: (r.s, r.start, r.key, r["size"]) for r in plan.documents.collect()}
+    by_hand = mixed_by_hand([(i, k, s, n) for i, (s, at, k, n) in sorted(order.items(), key=lambda x: x[1])], block, shard_slots)
+    got = mixing.taken(df, block=block, shard_slots=shard_slots).collect()
+    assert sorted((r.doc_id, r["size"], r.taken) for r in got) == by_hand
+    other = mixing.taken(df, block=block, shard_slots=shard_slots, seed=5).collect()
+    assert sorted(map(repr, other)) != sorted(map(repr, got))  # the draw decides what is taken
+
+
+def test_permutations_and_targets(spark, monkeypatch):
     for n in (1, 2, 3, 17, 64, 100, 1000):
         p = mixing.permuted(np.arange(n), n, 3)
         assert sorted(p) == list(range(n)) and (mixing.permuted(p, n, 3, inverse=True) == np.arange(n)).all()
-    for size in (1, 63, 64, 65, 1000, 1037):
-        blocks = -(-size // 64)
-        places = mixing.permuted(np.arange(blocks), blocks, 7)
-        length = lambda b, size=size: min(64, size - 64 * b)
-        for target in range(0, 2 * size + 1, max(1, size // 41)):
-            n, last = mixing._slots(size, target, 7, 64)
-            assert sum(length(int(places[k % blocks])) for k in range(n - 1)) + (last if n else 0) == target and n <= 2 * blocks
-            assert not n or last <= length(int(places[(n - 1) % blocks]))
-    assert mixing.targets([10, 10, 10]) == pytest.approx([20, 25 / 3, 50 / 3])
-    assert mixing.targets([]) == [] and mixing.targets([0, 5]) == pytest.approx([0, 7.5])
+    monkeypatch.setattr(mixing, "NUMBERED", 3)
+    for sizes in ([10, 10, 10], [0, 5], [1000, 1, 1, 1, 900, 3, 7, 0, 5, 80]):
+        names = [f"s{i}" for i in range(len(sizes) - 1)] + [None]
+        made = mixing.targeted(mixing.numbered(spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, size long"))).collect()
+        assert [r.source for r in sorted(made, key=lambda r: r.s)] == names
+        assert [r.target for r in sorted(made, key=lambda r: r.s)] == pytest.approx(goals(sizes))
 
 
 def test_empty_tables(spark):

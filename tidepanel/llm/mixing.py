@@ -1,8 +1,10 @@
 """Mixing sources to target weights by blocks.
 
 The words of each source, in a fixed order of its documents, are packed into blocks of
-BLOCK words. Each output shard draws how many slots each source gets from a multinomial over
-what the sources still have to give. A source's slots are numbered through, and a pseudorandom
+BLOCK words. Every output shard draws how many slots each source gets: the whole part of a source's
+expectation is given, and the slots left over are a multinomial draw by the fractional parts (residual
+sampling), so that a source comes near its target whatever the number of shards. Sources may be many: they stay in
+a table, and a shard draws from a tree of groups of FAN. A source's slots are numbered through, and a pseudorandom
 permutation of its block indices maps slot to block: each block comes once before any comes
 again. Slots and blocks are then joined by index.
 """
@@ -21,13 +23,15 @@ from tidepanel.llm.textkernel import mix, slices, word_bounds
 
 _U = np.uint64
 #: Words of a block.
-BLOCK = 256
+BLOCK = 128
 #: Weights of the sources in order, repeating; the mix is so many times all words; a source gives so many times its words at most.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
-#: Slots of an output shard, and shards at most: the driver draws shards x sources numbers.
-SHARD_SLOTS, MAX_SHARDS = 8192, 4096
-#: More sources than this are refused: the driver holds a row for each.
-MAX_SOURCES = 100_000
+#: Slots of an output shard, about.
+SHARD_SLOTS = 8192
+#: Sources, or groups of them, that one draw chooses from; bits of their probabilities.
+FAN, BITS = 1024, 32
+#: Sources that one task numbers, and slots that one task makes, about.
+NUMBERED, MADE = 100_000, 1 << 18
 #: Documents whose places are counted together.
 RUN = 4096
 SEED = 20240229
@@ -35,22 +39,37 @@ SEED = 20240229
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> list[float]:
-    """Words that each source is to give: by weight, none more than ``most`` times its size, the excess reshared."""
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    found: dict[int, float] = {}
-    left, open_ = share * sum(sizes), set(range(len(sizes)))
-    while open_:
-        total = sum(weight[i] for i in open_)
-        above = {i for i in open_ if left * weight[i] / total > most * sizes[i]}
-        if not above:
-            found |= {i: left * weight[i] / total for i in open_}
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` (source, ...) with their numbers s: by code point, null last. Sorted in ranges, which are counted."""
+    spark = sources.sparkSession
+    ranges = max(1, -(-sources.count() // NUMBERED))
+    at = [F.col("source").isNull(), F.col("source")]
+    ordered = materialize(sources.repartitionByRange(ranges, *at).sortWithinPartitions(*at).withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    first, rows = 0, []
+    for p, n in sorted((r.part, r["count"]) for r in ordered.groupBy(part.alias("part")).count().collect()):  # a row for each range
+        rows.append((p, first))
+        first += n
+    return ordered.join(F.broadcast(spark.createDataFrame(rows, "part long, first long")), part == F.col("part")).withColumn("s", F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("id", "part", "first")
+
+
+def targeted(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> DataFrame:
+    """``sources`` (s, size, ...) with target, the words that each is to give: by weight, none more than ``most`` times its size, the excess reshared.
+
+    What is left is shared by weight; sources above their most are closed, until none is. A round is one sum over the sources.
+    """
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("s") % len(weights) + 1).cast("int"))
+    top = F.col("size") * F.lit(most)
+    size, open_, n = sources.agg(F.sum("size"), F.sum(weight), F.count("*")).first()
+    left = share * (size or 0)
+    level, closed = left / open_ if n else 0.0, 0
+    while True:
+        above = F.lit(level) * weight > top
+        given, weighing, count = sources.agg(F.sum(F.when(above, top)), F.sum(F.when(~above, weight)), F.count(F.when(above, 1))).first()
+        if count == closed or count == n:
             break
-        for i in above:
-            found[i] = float(most * sizes[i])
-            left -= found[i]
-        open_ -= above
-    return [found[i] for i in range(len(sizes))]
+        closed, level = count, (left - (given or 0)) / weighing
+    return sources.withColumn("target", F.least(F.lit(level) * weight, top.cast("double")))
 
 
 def permuted(k: np.ndarray, size: int, seed: int, inverse: bool = False) -> np.ndarray:
@@ -74,53 +93,63 @@ def permuted(k: np.ndarray, size: int, seed: int, inverse: bool = False) -> np.n
     return x.astype(np.int64)
 
 
-def _slots(size: int, target: int, seed: int, block: int) -> tuple[int, int]:
-    """(slots of a source, words of the last one): whole rounds over its blocks, then a part of one."""
-    if not size or not target:
-        return 0, 0
-    blocks = -(-size // block)
-    whole, rest = divmod(target, size)
-    last = size - (blocks - 1) * block
-    if not rest:
-        place = int(permuted(np.array([blocks - 1]), blocks, seed)[0])
-        return whole * blocks, last if place == blocks - 1 else block
-    short = int(permuted(np.array([blocks - 1]), blocks, seed, inverse=True)[0])  # the slot of the last, shorter block
-    slots = -(-rest // block)
-    before = slots - 1  # blocks before the last slot
-    if short < slots and last < block:
-        if short < before and rest > before * block - block + last + block:
-            slots, before = slots + 1, slots
-        elif short == before and rest - before * block > last:
-            slots, before = slots + 1, slots
-    given = before * block - (block - last if short < before else 0)
-    return whole * blocks + slots, rest - given
-
-
-def _drawn(slots: list[int], shards: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): multinomial counts shard by shard, of what is left."""
-    draw, left, given, rows = np.random.default_rng(seed), np.array(slots, np.int64), np.zeros(len(slots), np.int64), []
-    for shard in range(shards):
-        take = np.zeros(len(slots), np.int64)
-        want = int(left.sum()) // (shards - shard)
-        while want > 0:
-            more = np.minimum(draw.multinomial(want, (left - take) / (left - take).sum()), left - take)
-            take += more
-            want -= int(more.sum())
-        rows += [(shard, i, int(given[i]), int(n)) for i, n in enumerate(take) if n]
-        given, left = given + take, left - take
-    return rows
-
-
-def _mapped(batches: Iterable[pa.RecordBatch], sizes: list[int], seeds: list[int], block: int) -> Iterator[pa.RecordBatch]:
+def _drawn(batches: Iterable[pa.RecordBatch], level: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Draw n slots of a shard among the children of a node: (shard, node, n) of those that get any."""
+    for batch in batches:
+        out: list[list[int]] = [[], [], []]
+        for shard, node, n, children in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            p = np.array([c["p"] for c in children], float)
+            got = np.random.default_rng([seed, level, shard, node]).multinomial(n, p / p.sum())
+            for i in np.flatnonzero(got).tolist():
+                for column, value in zip(out, (shard, children[i]["id"], int(got[i])), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["shard", "node", "n"])
+
+
+def drawn(sources: DataFrame, shards: int, seed: int = SEED, fan: int = FAN) -> DataFrame:
+    """(shard, s, n): slots that each of ``shards`` shards gives to each source, none without any.
+
+    ``sources``: s and expected, the slots a source is to have in all. A shard gives the whole part of expected / shards
+    and draws the rest, as many as the fractional parts add up to, from a multinomial over the fractional parts: by
+    groups of ``fan`` sources, groups of groups, and so on up to one. Probabilities are whole numbers, so that sums of
+    them agree between reruns.
+    """
+    spark = sources.sparkSession
+    unit = 1 << BITS
+    each = F.col("expected") / F.lit(shards)
+    parts = sources.select("s", F.floor(each).alias("whole"), F.round((each - F.floor(each)) * F.lit(float(unit))).cast("long").alias("p"))
+    total, count = parts.agg(F.sum("p"), F.max("s")).first()
+    whole = parts.where("whole > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("s").cast("long").alias("s"), F.col("whole").alias("n"))
+    if not total:
+        return whole
+    levels, nodes, top = [], parts.where("p > 0").select(F.col("s").cast("long").alias("id"), "p"), count
+    while True:
+        groups = nodes.groupBy(F.floor(F.col("id") / F.lit(fan)).alias("parent")).agg(F.sort_array(F.collect_list(F.struct("id", "p"))).alias("children"), F.sum("p").alias("p"))
+        levels.append(materialize(groups))
+        top //= fan
+        if not top:
+            break
+        nodes = levels[-1].select(F.col("parent").alias("id"), "p")
+    # the left-over slots of all shards up to one are the whole part of what they add up to
+    upto = lambda k: F.floor((k.cast("decimal(38,0)") * F.lit(total).cast("decimal(20,0)")) / F.lit(unit)).cast("long")
+    rows = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).cast("long").alias("node"), (upto(F.col("id") + 1) - upto(F.col("id"))).alias("n")).where("n > 0")
+    for level in range(len(levels) - 1, -1, -1):
+        kids = levels[level].select(F.col("parent").alias("node"), "children")
+        joined = rows.join(kids, "node").select("shard", "node", "n", "children")
+        rows = joined.mapInArrow(lambda it, level=level: lean(_drawn(it, level, seed)), "shard long, node long, n long")
+    return whole.union(rows.select("shard", F.col("node").alias("s"), "n")).groupBy("shard", "s").agg(F.sum("n").alias("n"))
+
+
+def _mapped(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     """(shard, s, slot, block, epoch) of each slot; epoch: how often its source's blocks have all been given before."""
     for batch in batches:
-        source, slot = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        source, slot, blocks = (batch.column(c).to_numpy() for c in (1, 2, 3))
         found, epoch = np.empty(len(slot), np.int64), np.empty(len(slot), np.int64)
         for s in np.unique(source).tolist():
             own = np.flatnonzero(source == s)
-            blocks = -(-sizes[s] // block)
-            epoch[own], place = np.divmod(slot[own], blocks)
-            found[own] = permuted(place, blocks, seeds[s])
+            n = int(blocks[own[0]])
+            epoch[own], place = np.divmod(slot[own], n)
+            found[own] = permuted(place, n, seed + s)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found), pa.array(epoch)], ["shard", "s", "slot", "block", "epoch"])
 
 
@@ -136,7 +165,7 @@ def content_key(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(c) for c in names))
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED) -> Mix:
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> Mix:
     """Plan a mix of ``docs`` (doc_id, text, source; other columns are ignored).
 
     Sources come by code point, null last, and weigh ``weights`` in turn. documents: doc_id, key,
@@ -144,9 +173,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     source_size and target. segments: a row for each block that a slot takes of a document:
     shard, s, slot, block, epoch, start of the document, and the words ``low`` to ``high`` (exclusive) of the document. A
     document without words gives nothing; repeated rows are documents of their own; ties in
-    order are between equal rows. Reruns give the same mix.
+    order are between equal rows. Slots beyond REPEATS rounds over a source's blocks are not given, so that no
+    document exceeds so many times its size. Reruns give the same mix; another ``seed`` gives another.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -154,21 +183,21 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         content_key(docs).alias("key"),
     )
     rows = materialize(rows)
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r["size"] for r in totals]
-    goal = targets(sizes, weights, share)
-    seeds = [seed + i for i in range(len(totals))]
-    counted = [_slots(n, round(t), k, block) for n, t, k in zip(sizes, goal, seeds, strict=True)]
-    known = spark.createDataFrame(
-        [(r.source, i, r["size"], t, n, last, max(1, -(-r.n // RUN))) for i, (r, t, (n, last)) in enumerate(zip(totals, goal, counted, strict=True))],
-        "source string, s int, source_size long, target double, slots long, last long, runs long",
+    totals = materialize(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    blocks = F.ceil(F.col("size") / F.lit(block))
+    known = targeted(materialize(numbered(totals)), weights, share).select(
+        "source",
+        "s",
+        "target",
+        F.col("size").alias("source_size"),
+        blocks.alias("blocks"),
+        F.when(F.col("size") > 0, F.col("target") * blocks / F.col("size")).otherwise(F.lit(0.0)).alias("expected"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(RUN))).alias("runs"),
     )
+    known = materialize(known)
 
     # places: sums of the documents before, within runs of about RUN documents and over runs
-    placed = rows.join(F.broadcast(known.select("source", "s", "source_size", "target", "runs")), rows["source"].eqNullSafe(known["source"])).drop("source")
+    placed = rows.join(known.select("source", "s", "source_size", "target", "runs"), rows["source"].eqNullSafe(known["source"])).drop("source")
     placed = placed.withColumn("run", F.pmod(F.xxhash64("doc_id", "key"), F.col("runs")))
     placed = materialize(placed.withColumn("upto", F.expr("sum(size) over (partition by s, run order by doc_id, key, size rows unbounded preceding)")))
     before = materialize(
@@ -189,24 +218,22 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         )
     )
 
-    total = sum(n for n, _ in counted)
-    shards = min(MAX_SHARDS, -(-total // SHARD_SLOTS))
-    drawn = spark.createDataFrame(_drawn([n for n, _ in counted], shards, seed), "shard int, s int, first long, n long")
+    total = known.agg(F.sum(F.ceil("expected"))).first()[0] or 0
+    shards = max(1, -(-total // shard_slots))
+    counts = materialize(drawn(known.select("s", "expected"), shards, seed))
+    # the slots of a source's shards follow each other
+    counts = counts.withColumn("first", F.expr("sum(n) over (partition by s order by shard rows unbounded preceding)") - F.col("n")).join(known.select("s", "blocks"), "s")
+    counts = counts.withColumn("end", F.least(F.col("first") + F.col("n"), F.col("blocks") * REPEATS)).where("end > first")
     step = 1 << 14
     slots = (
-        drawn.withColumn("from", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(step))))
-        .repartition(max(1, min(shards, 512)), "shard", "s", "from")
-        .select("shard", "s", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step - 1, F.col("first") + F.col("n") - 1))).alias("slot"))
-        .mapInArrow(lambda it: lean(_mapped(it, sizes, seeds, block)), "shard int, s int, slot long, block long, epoch long")
+        counts.withColumn("from", F.explode(F.sequence(F.col("first"), F.col("end") - 1, F.lit(step).cast("long"))))
+        .repartition(max(1, -(-total // MADE)), "shard", "s", "from")
+        .select("shard", "s", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, F.col("end")) - 1)).alias("slot"), "blocks")
+        .mapInArrow(lambda it: lean(_mapped(it, seed)), "shard long, s long, slot long, block long, epoch long")
     )
-    # the last slot of a source gives only as many words as its target still lacks
-    ends = known.select(F.col("s").alias("e"), (F.col("slots") - 1).alias("end"), "last")
     segments = (
         slots.hint("merge")  # its size cannot be told from that of the drawn counts
         .join(pieces, ["s", "block"])
-        .join(F.broadcast(ends), F.col("s") == F.col("e"))
-        .withColumn("high", F.when(F.col("slot") == F.col("end"), F.least("high", F.col("block") * block + F.col("last") - F.col("start"))).otherwise(F.col("high")))
-        .where("high > low")
         .select("shard", "s", "slot", "block", "epoch", "start", "low", "high")
     )
     return Mix(documents, segments)
