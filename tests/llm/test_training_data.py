@@ -232,6 +232,75 @@ def test_language_model(spark, docs, block_bytes):
     assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 2] >= interp_lm.LEAST / 2).all()
 
 
+def learned_by_hand(events, uniform):
+    """Weights of one bucket by expectation-maximisation over (pair estimate, token estimate, times), from ``start``."""
+
+    def rounds(rows, weights):
+        for _ in range(interp_lm.ROUNDS):
+            total = [0.0, 0.0, 0.0]
+            for two, one, times in rows:
+                shares = [two * weights[0], one * weights[1], uniform * weights[2]]
+                for i in range(3):
+                    total[i] += times * shares[i] / sum(shares)
+            weights = [t / sum(total) for t in total]
+            weights = [weights[0], max(weights[1], interp_lm.LEAST), max(weights[2], interp_lm.LEAST)]
+            weights = [w / sum(weights) for w in weights]
+        return weights
+
+    start = rounds([e for rows in events.values() for e in rows], [0.3, 0.6, 0.1]) if events else [0.3, 0.6, 0.1]
+    return {b: rounds(events[b], start) if events.get(b) else start for b in range(interp_lm.BUCKETS)}
+
+
+@pytest.mark.parametrize(("block_bytes", "step_bits"), [(600, 2), (600, 12), (1 << 23, 12)])
+def test_language_model_scores_equal_brute_force(spark, block_bytes, step_bits):
+    ready(spark)
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 4))) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 5 + i % 26]) for _ in range(rng.randrange(30)))) for i in range(120)]
+    rows += [rows[3]] * 5 + [rows[7]] * 4 + [rows[11]] * 3 + [(500 + k, rows[2][1]) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learns = {r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(interp_lm.FOLD)) == 0).collect()}
+    trains = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    tokens, pairs, minus, minus_pairs = (collections.Counter() for _ in range(4))
+    for i, t in rows:
+        w = [1, *words(t, True), 0]
+        for on, one, two in ((trains(i), tokens, pairs), (trains(i) and i in learns, minus, minus_pairs)):
+            if on:
+                one.update(w[1:])
+                two.update(zip(w, w[1:], strict=False))
+    total, less, uniform = sum(tokens.values()), sum(minus.values()), 1 / (len(tokens) + 1)
+    assert less
+    context = lambda a, less=None: tokens[0 if a == 1 else a] - (less[0 if a == 1 else a] if less else 0)
+    rounded = lambda share: 2.0 ** (-round(-math.log2(share) * interp_lm.BINS) / interp_lm.BINS)
+    bucket = lambda n: min(int(math.log2(n + 1)), interp_lm.BUCKETS - 1)
+    events = collections.defaultdict(list)
+    for i, t in rows:
+        if trains(i) and i in learns:
+            w = [1, *words(t, True), 0]
+            for a, b in zip(w, w[1:], strict=False):
+                n, two, one = context(a, minus), pairs[a, b] - minus_pairs[a, b], tokens[b] - minus[b]
+                events[bucket(n)].append((rounded(two / n) if two and n else 0.0, rounded(one / (total - less)) if one else 0.0, 1))
+    weights = learned_by_hand(events, uniform)
+    want = []
+    for i, t in rows:
+        w, score = [1, *words(t, True), 0], 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            n = context(a)
+            two, one, none = weights[bucket(n)]
+            score += math.log10(two * pairs[a, b] / max(n, 1) + one * tokens[b] / total + none * uniform)
+        want.append((i, score))
+    got = sorted((r.doc_id, r.score) for r in interp_lm.score_texts(df, block_bytes=block_bytes, step_bits=step_bits).collect())
+    assert [i for i, _ in got] == sorted(i for i, _ in want)
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], rel=1e-6)
+
+
+def test_requests_grow_with_the_blocks():
+    """Rows of all exchanges: ranges reached in one, two and three steps, for as many blocks."""
+    for blocks in (1, 2, 1000, 4096, 4097, 10**6, 12_500_000, 10**8):
+        steps = interp_lm._steps(blocks, interp_lm.STEP_BITS)
+        assert sum(2**b for b in steps) <= 3 * 2**interp_lm.STEP_BITS and sum(steps) == math.ceil(math.log2(blocks))
+
+
 def test_counts_survive_their_coding():
     for row in ([], [0], [1, 254, 255, 256, 65535, 2**32 - 1, 2**40], list(range(300))):
         a = np.array(row, np.int64)
