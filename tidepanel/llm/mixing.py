@@ -132,7 +132,7 @@ def drawn(sources: DataFrame, shards: int, seed: int = SEED, fan: int = FAN) ->
         nodes = levels[-1].select(F.col("parent").alias("id"), "p")
     # the left-over slots of all shards up to one are the whole part of what they add up to
     upto = lambda k: F.floor((k.cast("decimal(38,0)") * F.lit(total).cast("decimal(20,0)")) / F.lit(unit)).cast("long")
-    rows = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).cast("long").alias("node"), (upto(F.col("id") + 1) - upto(F.col("id"))).alias("n")).where("n > 0")
+    rows = spark.range(shards).select(F.col("id").alias("shard"), F.shiftright("id", 62).alias("node"), (upto(F.col("id") + 1) - upto(F.col("id"))).alias("n")).where("n > 0")
     for level in range(len(levels) - 1, -1, -1):
         kids = levels[level].select(F.col("parent").alias("node"), "children")
         joined = rows.join(kids, "node").select("shard", "node", "n", "children")
