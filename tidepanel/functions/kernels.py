@@ -58,8 +58,11 @@ def penalties(right: np.ndarray, steps: int = 50, least: float = 1e-3) -> np.nda
     return most * np.logspace(0, np.log10(least), steps)
 
 
-def lasso_cv(x: np.ndarray, y: np.ndarray, folds: int = 5, steps: int = 50, ratio: float = 1.0) -> tuple[np.ndarray, float, float]:
-    """(weights, intercept, penalty) with the penalty of least error over contiguous folds; ``ratio`` below 1 adds a ridge part."""
+def lasso_cv(x: np.ndarray, y: np.ndarray, folds: int = 5, steps: int = 50, ratio: float = 1.0, expanding: bool = False) -> tuple[np.ndarray, float, float]:
+    """(weights, intercept, penalty) with the penalty of least error over contiguous folds; ``ratio`` below 1 adds a ridge part.
+
+    A fold is judged by a fit on all others or, if ``expanding``, on what comes before it: rows are then in the order of time.
+    """
     mean, level, n = x.mean(axis=0), y.mean(), len(x)
     centred, goal = x - mean, y - level
     right = centred.T @ goal / n
@@ -69,8 +72,8 @@ def lasso_cv(x: np.ndarray, y: np.ndarray, folds: int = 5, steps: int = 50, rati
         return np.array([lasso_path(a + (1 - ratio) * p * np.eye(len(r)), r, np.array([ratio * p]))[0] for p in grid]) if ratio < 1 else lasso_path(a, r, grid)
 
     error = np.zeros(steps)
-    for test in np.array_split(np.arange(n), min(folds, n)):
-        train = np.setdiff1d(np.arange(n), test)
+    for test in np.array_split(np.arange(n), min(folds + expanding, n)):
+        train = np.arange(test[0] if len(test) else 0) if expanding else np.setdiff1d(np.arange(n), test)
         if not len(train) or not len(test):
             continue
         m, v = x[train].mean(axis=0), y[train].mean()

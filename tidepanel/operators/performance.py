@@ -127,3 +127,16 @@ def power(periods: DataFrame, ret: str = "net_ret", horizon: int = 21) -> DataFr
     out = periods.agg(F.count(ret).alias("n"), F.try_divide(F.avg(ret), F.stddev(ret)).alias("_s"))
     year = math.sqrt(252.0 / horizon)
     return out.select("n", (c("_s") * year).alias("sharpe"), (F.sqrt((1 + c("_s") * c("_s") / 2) / c("n")) * year).alias("se"), (2.8 * F.sqrt((1 + c("_s") * c("_s") / 2) / c("n")) * year).alias("mde"))
+
+
+def by_family(book: DataFrame, periods: DataFrame) -> DataFrame:
+    """(family, n_long, n_short, mean_long, mean_short, contribution): positions, mean sizes, and period returns times weights."""
+    held = book.join(F.broadcast(periods.select("window_id", "net_ret")), "window_id")
+    of = lambda s, call, v: F.coalesce(call(F.when(F.col("side") == s, v)), F.lit(0.0))
+    return held.groupBy("family").agg(
+        F.count(F.when(F.col("side") == "long", 1)).alias("n_long"),
+        F.count(F.when(F.col("side") == "short", 1)).alias("n_short"),
+        of("long", F.avg, F.col("w")).alias("mean_long"),
+        of("short", F.avg, -F.col("w")).alias("mean_short"),
+        F.sum(F.col("net_ret") * F.col("w")).alias("contribution"),
+    )

@@ -47,6 +47,19 @@ def mutual_information(df: DataFrame, features: list[str], target: str, folds: i
     return rows.select("feature", "fold", "dt", "ticker", "value", "_y").groupBy("feature", "fold").applyInPandas(estimate, "feature string, fold int, mi double")
 
 
+def most_informative(features: list[str], mi: dict[str, float], pairs: list[tuple[str, str, float | None]], limit: float = 0.75) -> list[str]:
+    """``features`` in order without the less informative of each pair correlated above ``limit``, the later one if equal, and without those of no information."""
+    near = {frozenset((a, b)): abs(r or 0.0) for a, b, r in pairs}
+    gone: set[str] = set()
+    for i, a in enumerate(features):
+        for b in features[i + 1 :]:
+            if a in gone:
+                break
+            if b not in gone and near.get(frozenset((a, b)), 0.0) > limit:
+                gone.add(a if mi.get(b, 0.0) > mi.get(a, 0.0) else b)
+    return [f for f in features if f not in gone and mi.get(f, 0.0) > 0]
+
+
 def binning(df: DataFrame, features: list[str], target: str, leaf: int = 100, depth: int = 3, bins: int = 10) -> DataFrame:
     """(feature, edges, ic_raw, ic_binned, use_bins): tree edges of each feature, and whether bins rank better than values."""
     rows = ics.long(df.withColumn("_y", c(target)), features, ("dt", "ticker", "_y")).where("value is not null and _y is not null")
@@ -68,7 +81,7 @@ def elastic_net(df: DataFrame, features: list[str], target: str, ratio: float =
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["dt", "ticker"])
         x = kernels.robust_scale(part[features].to_numpy(float))[0]
-        coef, _, _ = kernels.lasso_cv(x, part["_y"].to_numpy(float), ratio=ratio, steps=20)
+        coef, _, _ = kernels.lasso_cv(x, part["_y"].to_numpy(float), ratio=ratio, steps=20, expanding=True)
         return pd.DataFrame({"feature": features, "coef": coef})
 
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(fit, "feature string, coef double")

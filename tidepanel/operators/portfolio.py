@@ -61,15 +61,15 @@ def quantile_book(scores: DataFrame, rules: Rules) -> DataFrame:
 def capped_book(scores: DataFrame, rules: Rules, cluster: str = "cluster", cluster_cap: float = 0.25) -> DataFrame:
     """(window_id, dt, ticker, side, w): all of a side's exposure on its highest scores, within caps of entity and cluster.
 
-    The caps are nested, so filling by score is optimal for the linear objective: running sums, first within
+    Candidates are the best and the worst quantile of the scores. The caps are nested, so filling by score is optimal for the linear objective: running sums, first within
     clusters and then over them. Caps too tight for the exposure are widened alike.
     """
     long, short = rules.exposure()
     n = F.count("*").over(Window.partitionBy("window_id"))
     place = F.row_number().over(Window.partitionBy("window_id").orderBy(F.desc("score"), "ticker"))
     df = scores.where("score is not null").withColumns({"_n": n, "_place": place})
-    half = F.greatest(F.lit(1), F.floor(c("_n") / 2))
-    df = df.withColumn("side", F.when(c("_place") <= half, "long").otherwise("short"))
+    n_long, n_short = F.greatest(F.lit(1), F.floor(c("_n") * (1 - rules.long_quantile))), F.greatest(F.lit(1), F.floor(c("_n") * rules.short_quantile))
+    df = df.withColumn("side", F.when(c("_place") <= n_long, "long").when(c("_place") > c("_n") - n_short, "short")).where("side is not null")
     df = df.withColumn("_gross", F.when(c("side") == "long", long).otherwise(short)).where("_gross > 0")
     over = Window.partitionBy("window_id", "side")
     inside = Window.partitionBy("window_id", "side", cluster)
@@ -87,11 +87,12 @@ def capped_book(scores: DataFrame, rules: Rules, cluster: str = "cluster", clust
     return df.withColumn("w", w * F.when(c("side") == "long", 1.0).otherwise(-1.0)).where("w != 0").select("window_id", "dt", "ticker", "side", cluster, "score", "w")
 
 
-def period_returns(book: DataFrame, returns: DataFrame, rules: Rules) -> DataFrame:
+def period_returns(book: DataFrame, returns: DataFrame, rules: Rules, windows: DataFrame | None = None) -> DataFrame:
     """One row a window: returns of both sides, cash, turnover, costs, and the ledger.
 
     ``returns`` has dt, ticker and ret over the holding period. Turnover of the first window is all of
     it, later half the sum of absolute changes; an entity that is in one of two windows counts as 0 in the other.
+    ``windows`` (window_id, dt) adds rows for those without a book, which hold cash; without it there are only the book's.
     """
     held = book.join(returns.select("dt", "ticker", c("ret").alias("_ret")), ["dt", "ticker"], "left").withColumn("_ret", F.coalesce("_ret", F.lit(0.0)))
     of = lambda s, v: F.coalesce(F.sum(F.when(c("side") == s, v)), F.lit(0.0))
@@ -99,13 +100,16 @@ def period_returns(book: DataFrame, returns: DataFrame, rules: Rules) -> DataFra
         of("long", c("w") * c("_ret")).alias("long_ret"), of("short", c("w") * c("_ret")).alias("short_ret"), of("long", c("w")).alias("gross_long"), of("short", -c("w")).alias("gross_short"),
         F.count(F.when(c("side") == "long", 1)).alias("n_long"), F.count(F.when(c("side") == "short", 1)).alias("n_short"),
     )
+    if windows is not None:
+        none = {"long_ret": 0.0, "short_ret": 0.0, "gross_long": 0.0, "gross_short": 0.0, "n_long": 0, "n_short": 0}
+        sums = windows.join(sums.drop("dt"), "window_id", "left").fillna(none)
     # each weight meets the previous window's, and each that lapses meets 0
-    grid = book.select("window_id").distinct().withColumn("before", F.lag("window_id").over(Window.orderBy("window_id")))
+    grid = (book if windows is None else windows).select("window_id").distinct().withColumn("before", F.lag("window_id").over(Window.orderBy("window_id")))
     now = book.select("window_id", "ticker", "w").join(grid, "window_id")
     prior = book.select(c("window_id").alias("before"), "ticker", c("w").alias("w0")).join(grid, "before")
     change = now.join(prior.select("window_id", "ticker", "w0"), ["window_id", "ticker"], "full_outer")
-    change = change.groupBy("window_id").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))).alias("_change")).join(grid, "window_id")
-    turnover = change.select("window_id", (c("_change") * F.when(c("before").isNull(), 1.0).otherwise(0.5)).alias("turnover"))
+    change = change.groupBy("window_id").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))).alias("_change"))
+    turnover = grid.join(change, "window_id", "left").select("window_id", (F.coalesce("_change", F.lit(0.0)) * F.when(c("before").isNull(), 1.0).otherwise(0.5)).alias("turnover"))
     df = sums.join(turnover, "window_id")
     margin = c("gross_long") * rules.margin_long + c("gross_short") * rules.margin_short
     share = rules.horizon / 365.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,31 +40,37 @@ def demeaned(name: str, by: tuple[str, ...] = ()) -> Column:
     return c(name) - F.avg(name).over(Window.partitionBy(w.TIME, *by))
 
 
-def residual(df: DataFrame, y: str, controls: tuple[str, str], least: int = 20, ridge: float = 1e-6, name: str = "y_resid") -> DataFrame:
-    """``y`` less its ridge regression on two controls and a constant, date by date.
+def residual(df: DataFrame, y: str, controls: tuple[str, ...], least: int = 20, ridge: float = 1e-6, name: str = "y_resid") -> DataFrame:
+    """``y`` less its ridge regression on any number of controls and a constant, date by date.
 
-    Dates with fewer than ``least`` complete rows keep y; elsewhere an incomplete row gets null.
-    The normal equations are nine sums over the date, solved by determinants: no row leaves the JVM.
+    Dates with fewer complete rows than ``least``, or than there are coefficients, keep y; elsewhere an incomplete row gets null.
+    The normal equations are sums over the date, made before the shuffle; only these, a row a date, are solved outside
+    the JVM, and the coefficients come back by date.
     """
-    a, b = controls
-    whole = c(y).isNotNull() & c(a).isNotNull() & c(b).isNotNull()
-    df = df.withColumns({"_y": F.when(whole, c(y)), "_a": F.when(whole, c(a)), "_b": F.when(whole, c(b))})
-    over = w.section()
-    sums = {"_n": F.count("_y").over(over).cast("double")}
-    for key, x in {"_sa": c("_a"), "_sb": c("_b"), "_sy": c("_y"), "_saa": c("_a") * c("_a"), "_sab": c("_a") * c("_b"), "_sbb": c("_b") * c("_b"), "_say": c("_a") * c("_y"), "_sby": c("_b") * c("_y")}.items():
-        sums[key] = F.sum(x).over(over)
-    df = df.withColumns(sums)
-    m = [[c("_n") + ridge, c("_sa"), c("_sb")], [c("_sa"), c("_saa") + ridge, c("_sab")], [c("_sb"), c("_sab"), c("_sbb") + ridge]]
-    right = [c("_sy"), c("_say"), c("_sby")]
-
-    def det(t):
-        return t[0][0] * (t[1][1] * t[2][2] - t[1][2] * t[2][1]) - t[0][1] * (t[1][0] * t[2][2] - t[1][2] * t[2][0]) + t[0][2] * (t[1][0] * t[2][1] - t[1][1] * t[2][0])
-
-    df = df.withColumn("_det", det(m))
-    for k in range(3):
-        df = df.withColumn(f"_beta{k}", F.try_divide(det([[right[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]), c("_det")))
-    fit = c("_beta0") + c("_beta1") * c("_a") + c("_beta2") * c("_b")
-    return df.withColumn(name, F.when(c("_n") < least, c(y)).otherwise(c("_y") - fit))
+    k = len(controls) + 1
+    whole = c(y).isNotNull()
+    for x in controls:
+        whole = whole & c(x).isNotNull()
+    terms = [F.lit(1.0), *(c(x).cast("double") for x in controls)]
+    sums = [F.sum(terms[i] * terms[j]) for i in range(k) for j in range(i, k)] + [F.sum(t * c(y)) for t in terms]
+    normal = df.where(whole).groupBy(w.TIME).agg(F.count("*").alias("n"), F.array(*sums).alias("sums"))
+
+    def solve(parts):
+        for part in parts:
+            rows = np.array(part["sums"].tolist(), float).reshape(len(part), -1)
+            upper = np.triu_indices(k)
+            beta = []
+            for row in rows:
+                m = np.zeros((k, k))
+                m[upper] = row[: len(upper[0])]
+                m = np.triu(m) + np.triu(m, 1).T + ridge * np.eye(k)
+                beta.append(np.linalg.lstsq(m, row[len(upper[0]) :], rcond=None)[0] if np.linalg.matrix_rank(m) < k else np.linalg.solve(m, row[len(upper[0]) :]))
+            yield pd.DataFrame({w.TIME: part[w.TIME], "_n": part["n"], "_beta": [b.tolist() for b in beta]})
+
+    solved = normal.where(c("n") >= max(least, k)).mapInPandas(solve, f"{w.TIME} {df.schema[w.TIME].dataType.simpleString()}, _n long, _beta array<double>")
+    df = df.join(solved, w.TIME, "left")
+    fit = sum((c("_beta")[i] * terms[i] for i in range(1, k)), c("_beta")[0])
+    return df.withColumn(name, F.when(c("_n").isNull(), c(y)).when(whole, c(y) - fit)).drop("_n", "_beta")
 
 
 def standardised(df: DataFrame, name: str, out: str, least: int = 20, tiny: float = 1e-6, limits: tuple[float, float] | None = None) -> DataFrame:
@@ -79,7 +87,7 @@ def standardised(df: DataFrame, name: str, out: str, least: int = 20, tiny: floa
     return df.withColumn(out, F.when(fine, (c("_v") - F.avg("_v").over(over)) / s))
 
 
-def labels(df: DataFrame, raw: str = "fwd_21", by: tuple[str, ...] = (), controls: tuple[str, str] | None = ("beta_mkt_63", "idio_vol_63"), limits=None) -> DataFrame:
+def labels(df: DataFrame, raw: str = "fwd_21", by: tuple[str, ...] = (), controls: tuple[str, ...] | None = ("beta_mkt_63", "idio_vol_63"), limits=None) -> DataFrame:
     """Raw forward return, demeaned, residual to risk, z-score: y_raw, y_cs, y_resid, y_resid_z."""
     df = df.withColumn("y_raw", c(raw)).withColumn("y_cs", demeaned(raw, by))
     df = residual(df, "y_cs", controls) if controls else df.withColumn("y_resid", c("y_cs"))

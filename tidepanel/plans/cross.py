@@ -284,7 +284,7 @@ SELECT dt, ticker, round(adv_rank, 6) + 0.0 AS adv_rank FROM r WHERE adv_rank >=
 """
 
 
-@query("p01_p08_universe", _UNIVERSE)
+@query("p01_p06_p08_universe", _UNIVERSE)
 def universe(spark, sf_dir):
     df = basic(spark, sf_dir).withColumns({"adv": F.avg(c("close") * c("volume")).over(w.last(63)), "listed": F.min("dt").over(w.whole())})
     df = df.withColumns({"adv_rank": w.percent_rank(c("adv")), "quality": (c("mom").isNotNull().cast("int") + c("vol").isNotNull().cast("int")) / 2.0})
@@ -300,7 +300,7 @@ UNION ALL SELECT 'fwd_21', round(avg((fwd_21 IS NULL)::INT), 6) + 0.0, round(med
 """
 
 
-@query("p09_p13_null_shares", _NULLS)
+@query("p09_null_shares", _NULLS)
 def null_shares(spark, sf_dir):
     names = ["mom", "vol", "fwd_21"]
     df = basic(spark, sf_dir).where(c("dt") >= F.lit("1996-06-01").cast("date")).select(*names)

@@ -84,7 +84,7 @@ _DAYS = {"ret_pct_1": 1, "ret_pct_5": 5, "ret_pct_21": 21, "ret_pct_63": 63, "st
 _SHORT = f"WITH {_nw('1.0')} SELECT feature, round(ic_mean, 6) + 0.0 AS ic_mean, row_number() OVER (ORDER BY abs(ic_mean) DESC, feature) AS place FROM nw WHERE feature IN ('ret_pct_1') AND abs(ic_mean) >= 0.01 QUALIFY place <= 3"
 
 
-@query("l03_l04_short_lag", _SHORT)
+@query("l03_short_lag", _SHORT)
 def short_lag(spark, sf_dir):
     return pl.short_lag(ics.newey_west(daily(spark, sf_dir)), _DAYS).select("feature", w.rounded("ic_mean"), c("place").cast("long").alias("place"))
 
@@ -289,7 +289,7 @@ def target_comparison(spark, sf_dir):
     return ic.groupBy("target").agg(F.count("ic").alias("n"), F.avg("ic").alias("ic_mean"), F.stddev("ic").alias("ic_std")).select("target", "n", w.rounded("ic_mean"), w.rounded("ic_std"))
 
 
-@query("r05_r06_r09_feature_attribution")
+@query("r05_r09_feature_attribution")
 def feature_attribution(spark, sf_dir):
     """How often models use each feature, and what that went with."""
     from tidepanel.operators import performance as perf

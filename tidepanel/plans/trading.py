@@ -81,7 +81,7 @@ def walk_forward(spark, sf_dir):
 
 _CAPPED = f"""
 WITH {_SCORES}, o AS (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY window_id ORDER BY score DESC, ticker) AS place FROM sc WHERE score IS NOT NULL WINDOW g AS (PARTITION BY window_id)
-), s AS (SELECT *, CASE WHEN place <= greatest(1, floor(n / 2)) THEN 'long' ELSE 'short' END AS side FROM o
+), s AS (SELECT * FROM (SELECT *, CASE WHEN place <= greatest(1, floor(n * (1 - 0.67))) THEN 'long' WHEN place > n - greatest(1, floor(n * 0.33)) THEN 'short' END AS side FROM o) WHERE side IS NOT NULL
 ), r AS (SELECT window_id, side, sum(least(m * 0.15, 0.25)) AS room FROM (SELECT window_id, side, family, count(*) AS m FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2
 ), x AS (SELECT s.*, CASE WHEN room < 0.99 * 0.5 THEN 1.1 * 0.5 / room ELSE 1.0 END AS f FROM s JOIN r USING (window_id, side)
 ), t AS (SELECT *, greatest(0, least(0.15 * f, 0.25 * f - (row_number() OVER (PARTITION BY window_id, side, family ORDER BY score DESC, ticker) - 1) * 0.15 * f)) AS take FROM x
@@ -275,7 +275,7 @@ SELECT dt, round(slope, 3) + 0.0 AS slope, round(level_z, 5) + 0.0 AS level_z, r
 """
 
 
-@query("m01_m10_macro", _MACRO)
+@query("m01_macro_flags", _MACRO)
 def macro(spark, sf_dir):
     days = bars(spark, sf_dir).select("dt").distinct()
     df = rg.macro(xs.asof(days, series(spark, sf_dir), ["price", "orders"]))
