@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -86,6 +86,11 @@ def feature_attribution(models: DataFrame, periods: DataFrame, windows: int) ->
     return stats.join(presence, "feature", "left").withColumn("score", c("frequency") * F.abs("ic_mean") * steady)
 
 
+def drawn(*names, seed: int) -> Column:
+    """A number below 2 ** 60 that the named columns decide: the same on every engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(n).cast("string") if isinstance(n, str) else n.cast("string") for n in names), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
 def block_bootstrap(periods: DataFrame, ret: str = "net_ret", trials: int = 1000, block: int = 6, seed: int = 42, horizon: int = 21) -> DataFrame:
     """(trial, total, sharpe) of resampled histories, made of blocks of consecutive periods.
 
@@ -98,20 +103,39 @@ def block_bootstrap(periods: DataFrame, ret: str = "net_ret", trials: int = 1000
     parts = -(-n // block)
     history = F.array(*(F.lit(v) for v in rows))
     df = spark.range(trials).withColumnRenamed("id", "trial").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    start = F.pmod(F.xxhash64("trial", "part", F.lit(seed)), F.lit(max(1, n - block + 1)))
+    start = F.pmod(drawn("trial", "part", seed=seed), F.lit(max(1, n - block + 1)))
     df = df.withColumn("r", F.explode(F.slice(history, start.cast("int") + 1, F.least(F.lit(block), F.lit(n) - c("part") * block))))
     return df.groupBy("trial").agg((F.product(1 + c("r")) - 1).alias("total"), F.try_divide(F.avg("r") * math.sqrt(252.0 / horizon), F.stddev("r")).alias("sharpe"))
 
 
 def random_books(returns: DataFrame, trials: int = 1000, size: int = 10, seed: int = 7, horizon: int = 21) -> DataFrame:
-    """(trial, total, sharpe): mean return of ``size`` random entities at each date, compounded and by its deviation; (dt, ticker, ret) in."""
-    spark = returns.sparkSession
-    rows = returns.where("ret is not null").crossJoin(F.broadcast(spark.range(trials).withColumnRenamed("id", "trial")))  # trials are a stated number
-    place = F.row_number().over(Window.partitionBy("trial", "dt").orderBy(F.xxhash64("trial", "dt", "ticker", F.lit(seed))))
-    daily = rows.withColumn("_p", place).where(c("_p") <= size).groupBy("trial", "dt").agg(F.avg("ret").alias("r"))
+    """(trial, total, sharpe): mean return of ``size`` random entities at each date, compounded and by its deviation; (dt, ticker, ret) in.
+
+    A date's returns are one list; each trial orders it by hashes and takes the first ones, without an exchange of
+    entities times trials.
+    """
+    lists = returns.where("ret is not null").groupBy("dt").agg(F.collect_list(F.struct("ticker", "ret")).alias("all"))
+    rows = lists.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    order = F.sort_array(F.transform("all", lambda x: F.struct(F.md5(F.concat_ws(":", F.col("trial").cast("string"), F.col("dt").cast("string"), x["ticker"], F.lit(str(seed)))).alias("h"), x["ret"].alias("ret"))))
+    picked = F.transform(F.slice(order, 1, size), lambda x: x["ret"])
+    daily = rows.select("trial", (F.aggregate(picked, F.lit(0.0), lambda a, x: a + x) / F.size(picked)).alias("r"))
     return daily.groupBy("trial").agg((F.product(1 + c("r")) - 1).alias("total"), F.try_divide(F.avg("r") * math.sqrt(252.0 / horizon), F.stddev("r")).alias("sharpe"))
 
 
+def shuffled(periods: DataFrame, ret: str = "net_ret", trials: int = 1000, seed: int = 11, horizon: int = 21) -> DataFrame:
+    """(trial, sharpe, max_dd) of the periods in random orders: the order changes neither mean nor deviation, only the way there."""
+    lists = periods.agg(F.collect_list(F.struct("window_id", F.col(ret).alias("r"))).alias("all"))  # a row a period
+    rows = lists.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn(
+        "order", F.sort_array(F.transform("all", lambda x: F.struct(F.md5(F.concat_ws(":", F.col("trial").cast("string"), x["window_id"].cast("string"), F.lit(str(seed)))).alias("h"), x["r"].alias("r"))))
+    )
+    step = lambda a, x: F.struct(
+        (a["g"] * (1 + x["r"])).alias("g"), F.greatest(a["top"], a["g"] * (1 + x["r"])).alias("top"), F.least(a["dd"], a["g"] * (1 + x["r"]) / F.greatest(a["top"], a["g"] * (1 + x["r"])) - 1).alias("dd")
+    )
+    start = F.struct(F.lit(1.0).alias("g"), F.lit(1.0).alias("top"), F.lit(0.0).alias("dd"))
+    rows = rows.withColumn("max_dd", F.aggregate("order", start, step)["dd"])
+    return rows.select("trial", "max_dd", F.explode("order").alias("x")).groupBy("trial").agg(F.try_divide(F.avg("x.r") * math.sqrt(252.0 / horizon), F.stddev("x.r")).alias("sharpe"), F.max("max_dd").alias("max_dd"))
+
+
 def against_random(books: DataFrame, periods: DataFrame, ret: str = "net_ret", horizon: int = 21) -> DataFrame:
     """``books`` with what ``periods`` reached, the shares of books that reach as much (p_value_*), and the percentile by Sharpe; a Sharpe without deviation counts as 0."""
     year = math.sqrt(252.0 / horizon)

@@ -258,6 +258,19 @@ def reference_risk(df: DataFrame, reference: str = "mkt", spans=(21, 63, 126)) -
     return df.withColumns(made)
 
 
+def pair_index(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(dt, value): mean return of two entities on the dates on which both have one."""
+    both = df.where(c("ticker").isin(a, b) & c("ret").isNotNull()).groupBy("dt").agg(F.max(F.when(c("ticker") == a, c("ret"))).alias("_a"), F.max(F.when(c("ticker") == b, c("ret"))).alias("_b"))
+    return both.where("_a is not null and _b is not null").select("dt", ((c("_a") + c("_b")) / 2).alias("value"))
+
+
+def relative_strength(df: DataFrame, reference: str, spans=(21, 63, 126), name: str = "rs") -> DataFrame:
+    """Sums of returns over a reference's over each span, and their z-scores over a year of rows."""
+    gap = c("ret") - c(reference)
+    df = df.withColumns({f"{name}_{n}": F.when(F.count("ret").over(w.last(n)) >= n // 2, F.sum(gap).over(w.last(n))) for n in spans})
+    return df.withColumns({f"{name}_{n}_z": w.zscore(c(f"{name}_{n}"), 252, 126) for n in spans})
+
+
 def forward_returns(df: DataFrame, spans=(1, 5, 21)) -> DataFrame:
     return df.withColumns({f"fwd_{n}": w.ratio(F.lead("close", n).over(w.history()), c("close")) - 1 for n in spans})
 

@@ -18,7 +18,8 @@ from tidepanel.operators import regime as rg
 from tidepanel.operators import timeseries as ts
 from tidepanel.operators import xsection as xs
 from tidepanel.plans.cross import _BASIC_FROM, _RISK_FROM, basic, rebalance_grid, with_market
-from tidepanel.plans.panel import BARS, T, bars, dev, panel, rank_pct, read
+from tidepanel.plans.features import _beta
+from tidepanel.plans.panel import BARS, PANEL, SERIES, T, avg, bars, co, dev, frame, panel, rank_pct, read, roll, select, series, shown
 from tidepanel.plans.research import _LONG, FEATURES, wide
 from tidepanel.plans.trading import _PERIODS, _STATE, RULES, _dated, market, periods
 from tidepanel.registry import query
@@ -263,3 +264,29 @@ def multicollinearity(spark, sf_dir):
     pairs = [(r.feature_a, r.feature_b, r["corr"]) for r in ics.pair_correlations(df, FEATURES, ranked=True).collect()]
     kept = pl.most_informative(FEATURES, mi, pairs)
     return spark.createDataFrame([(f, mi.get(f), f in kept) for f in FEATURES], "feature string, mi double, kept boolean")
+
+
+# two references: an index of two entities, where both have a return, and the levels of two series
+
+_PAIR = ("Brand#12", "Brand#13")
+_BOTH_FROM = f"""{PANEL}, {SERIES}, syn AS (SELECT a.dt, (a.ret + b.ret) / 2 AS syn FROM panel a JOIN panel b USING (dt) WHERE a.ticker = '{_PAIR[0]}' AND b.ticker = '{_PAIR[1]}' AND a.ret IS NOT NULL AND b.ret IS NOT NULL
+), cal AS (SELECT d.dt, syn.syn, p.value AS price, o.value AS orders FROM (SELECT DISTINCT dt FROM panel) d ASOF LEFT JOIN syn ON d.dt >= syn.dt ASOF LEFT JOIN (SELECT * FROM series WHERE name = 'price') p ON d.dt >= p.dt ASOF LEFT JOIN (SELECT * FROM series WHERE name = 'orders') o ON d.dt >= o.dt
+), both_ AS (SELECT panel.*, syn, price, orders, max(CASE WHEN ticker = 'Brand#2' THEN ret END) OVER (PARTITION BY dt) AS b FROM panel JOIN cal USING (dt)
+), rs AS (SELECT *, {', '.join(f"(CASE WHEN count(ret) OVER {frame(n)} >= {n // 2} THEN sum(ret - b) OVER {frame(n)} END) AS rs_{n}" for n in (21, 63, 126))} FROM both_)"""
+_BOTH = {f"beta_syn_{n}": _beta("ret", "syn", n, n // 2) for n in (21, 63, 126)} | {"corr21_syn": co("ret", "syn", 21, 10)} | {f"corr_{s}_{n}": co("ret", s, n, n // 2) for s in ("price", "orders") for n in (21, 63)}
+_BOTH |= {f"rs_{n}": f"rs_{n}" for n in (21, 63, 126)} | {f"rs_{n}_z": f"(rs_{n} - {avg(f'rs_{n}', 252, 126)}) / ({dev(f'rs_{n}', 252, 126)} + 1e-8)" for n in (21, 63, 126)} | {f"corr_b_{n}": co("ret", "b", n, n // 2) for n in (63, 126)}
+_BOTH |= {f"return_skew_{n}": roll("skewness({x})", "ret", n) for n in (63, 126)} | {f"return_kurt_{n}": roll("kurtosis({x})", "ret", n) for n in (63, 126)}
+
+
+@query("j06_w50_w58_two_references", select(_BOTH, 5, "rs", with_=_BOTH_FROM))
+def two_references(spark, sf_dir):
+    df = panel(spark, sf_dir)
+    index = ts.pair_index(df, *_PAIR).select(F.lit("syn").alias("name"), "dt", "value")
+    df = xs.asof(df, index.unionByName(series(spark, sf_dir)), ["syn", "price", "orders"])
+    other = df.where(c("ticker") == "Brand#2").select("dt", c("ret").alias("b"))
+    df = df.join(F.broadcast(other), "dt", "left")  # one row a date
+    df = ts.reference_risk(df, "syn").withColumns({f"beta_syn_{n}": c(f"beta_ref_{n}") for n in (21, 63, 126)})
+    made = {"corr21_syn": w.corr(c("ret"), c("syn"), 21, 10)} | {f"corr_{s}_{n}": w.corr(c("ret"), c(s), n, n // 2) for s in ("price", "orders") for n in (21, 63)}
+    made |= {f"corr_b_{n}": w.corr(c("ret"), c("b"), n, n // 2) for n in (63, 126)} | {f"return_skew_{n}": w.skew(c("ret"), n) for n in (63, 126)} | {f"return_kurt_{n}": w.kurt(c("ret"), n) for n in (63, 126)}
+    df = ts.relative_strength(df.withColumns(made), "b")
+    return shown(df, list(_BOTH), 5)

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tidepanel.functions import windows as w
 from tidepanel.operators import ic as ics
 from tidepanel.operators import lab
+from tidepanel.operators import performance as perf
 from tidepanel.operators import pipelines as pl
 from tidepanel.operators import portfolio as pf
 from tidepanel.operators import selection as sel
 from tidepanel.plans.cross import _BASIC_FROM, BENCH, basic, rebalance_grid
 from tidepanel.plans.panel import BARS, PANEL, SERIES, T, avg, co, dev, panel, rank_pct, series, shown
 from tidepanel.plans.research import _LONG, _WIDE, FEATURES, _nw, daily, wide
-from tidepanel.plans.trading import _BOOK, _SCORES, RULES, scores
+from tidepanel.plans.trading import _BOOK, _PERIODS, _SCORES, RULES, periods, scores
 from tidepanel.registry import query
 
 c = F.col
@@ -233,15 +234,19 @@ def ranking_analysis(spark, sf_dir):
     return out.select("window_id", w.rounded("dispersion"), w.rounded("extreme_spread"), w.rounded("ic"))
 
 
-@query("v02_shuffled_null")
-def shuffled_null(spark, sf_dir):
-    """Sharpe of shuffled histories: a shuffle changes neither mean nor deviation, so all are equal."""
-    from tidepanel.plans.trading import periods
+_SHUFFLED = f"""
+WITH {_PERIODS}, od AS (SELECT trial, net_ret AS r, row_number() OVER (PARTITION BY trial ORDER BY md5(trial || ':' || window_id || ':11')) AS k FROM nr, range(1000) t(trial)
+), g AS (SELECT trial, r, k, product(1 + r) OVER (PARTITION BY trial ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM od
+), d AS (SELECT trial, r, g / greatest(1, max(g) OVER (PARTITION BY trial ORDER BY k ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM g)
+SELECT trial, round(avg(r) * sqrt(12) / nullif(stddev_samp(r), 0), 6) + 0.0 AS sharpe, round(least(0, min(dd)), 6) + 0.0 AS max_dd FROM d GROUP BY 1
+"""
 
-    out = periods(spark, sf_dir)[0].select("window_id", "net_ret")
-    trials = out.crossJoin(F.broadcast(spark.range(1000).withColumnRenamed("id", "trial")))  # a stated number of trials
-    trials = trials.withColumn("place", F.row_number().over(Window.partitionBy("trial").orderBy(F.xxhash64("trial", "window_id"))))
-    return trials.groupBy("trial").agg(F.try_divide(F.avg("net_ret") * 12**0.5, F.stddev("net_ret")).alias("sharpe"))
+
+@query("v02_shuffled_null", _SHUFFLED)
+def shuffled_null(spark, sf_dir):
+    """Sharpe of shuffled histories, which all are equal, and their drawdowns, which are not."""
+    out = perf.shuffled(periods(spark, sf_dir)[0])
+    return out.select(c("trial").cast("long").alias("trial"), w.rounded("sharpe"), w.rounded("max_dd"))
 
 
 _FUNNEL = f"""
@@ -293,8 +298,6 @@ def target_comparison(spark, sf_dir):
 def feature_attribution(spark, sf_dir):
     """How often models use each feature, and what that went with."""
     from tidepanel.operators import performance as perf
-    from tidepanel.plans.trading import periods
-
     df = wide(spark, sf_dir)
     grid = rebalance_grid(df)
     models = sel.window_models(df, grid, FEATURES, "y", most=4)

@@ -184,18 +184,38 @@ def power(spark, sf_dir):
     return perf.power(periods(spark, sf_dir)[0]).select("n", w.rounded("sharpe"), w.rounded("se"), w.rounded("mde"))
 
 
-@query("r02_block_bootstrap")
+_DRAWN = f"""
+WITH {_PERIODS}, h AS (SELECT net_ret AS r, row_number() OVER (ORDER BY window_id) AS i, count(*) OVER () AS n FROM nr), z AS (SELECT max(n) AS n FROM h
+), p AS (SELECT t.trial, b.part, n, CAST('0x' || substr(md5(t.trial || ':' || b.part || ':42'), 1, 15) AS BIGINT) % greatest(1, n - 5) AS start FROM z, range(1000) t(trial), range(1000) b(part) WHERE b.part < ceil(n / 6.0)
+), d AS (SELECT trial, r FROM p JOIN h ON h.i > start AND h.i <= start + least(6, p.n - part * 6))
+SELECT trial, round(product(1 + r) - 1, 3) + 0.0 AS total, round(avg(r) * sqrt(12) / nullif(stddev_samp(r), 0), 6) + 0.0 AS sharpe FROM d GROUP BY 1
+"""
+
+
+@query("r02_block_bootstrap", _DRAWN)
 def bootstrap(spark, sf_dir):
-    return perf.block_bootstrap(periods(spark, sf_dir)[0])
+    return perf.block_bootstrap(periods(spark, sf_dir)[0]).select("trial", w.rounded("total", 3), w.rounded("sharpe"))
+
+
+_RANDOM = f"""
+WITH {_PERIODS}, e AS (SELECT dt, ticker, fwd_21 AS ret FROM sc JOIN (SELECT DISTINCT dt FROM grid) USING (dt) WHERE fwd_21 IS NOT NULL
+), od AS (SELECT trial, dt, ret, row_number() OVER (PARTITION BY trial, dt ORDER BY md5(trial || ':' || dt || ':' || ticker || ':7')) AS k FROM e, range(1000) t(trial)
+), y AS (SELECT trial, dt, avg(ret) AS r FROM od WHERE k <= 10 GROUP BY 1, 2), b AS (SELECT trial, product(1 + r) - 1 AS total, avg(r) * sqrt(12) / nullif(stddev_samp(r), 0) AS sharpe FROM y GROUP BY 1
+), a AS (SELECT product(1 + net_ret) - 1 AS actual_total, coalesce(avg(net_ret) * sqrt(12) / nullif(stddev_samp(net_ret), 0), 0) AS actual_sharpe FROM nr
+), q AS (SELECT avg((total >= actual_total)::INT) AS p_value_return, avg((coalesce(sharpe, 0) >= actual_sharpe)::INT) AS p_value_sharpe FROM b, a)
+SELECT trial, round(total, 3) + 0.0 AS total, round(sharpe, 6) + 0.0 AS sharpe, round(actual_total, 3) + 0.0 AS actual_total, round(actual_sharpe, 6) + 0.0 AS actual_sharpe, round(p_value_return, 6) + 0.0 AS p_value_return, round(p_value_sharpe, 6) + 0.0 AS p_value_sharpe,
+  round((1 - p_value_sharpe) * 100, 4) + 0.0 AS percentile FROM b, a, q
+"""
 
 
-@query("v03_random_books")
+@query("v03_random_books", _RANDOM)
 def random_books(spark, sf_dir):
     """Books of ten random entities, and how the momentum book stands among them."""
     reached, _, df = periods(spark, sf_dir)
     grid = rebalance_grid(df)
     held = df.join(F.broadcast(grid), c("dt") == c("at")).select("dt", "ticker", c("fwd_21").alias("ret"))
-    return perf.against_random(perf.random_books(held), reached)
+    out = perf.against_random(perf.random_books(held), reached)
+    return out.select(c("trial").cast("long").alias("trial"), w.rounded("total", 3), w.rounded("sharpe"), w.rounded("actual_total", 3), *(w.rounded(k) for k in ("actual_sharpe", "p_value_return", "p_value_sharpe")), w.rounded("percentile", 4))
 
 
 _FORESIGHT = f"""
