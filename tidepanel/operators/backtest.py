@@ -75,8 +75,8 @@ def walk_forward(df: DataFrame, ic: DataFrame, grid: DataFrame, modes: DataFrame
     able = eligible(bars if bars is not None else df).select("dt", "ticker").join(at, "dt")
     scored = weighted_scores(df.join(able, ["dt", "ticker"]), weights, grid, features, fallback).persist()
     book = book_by_mode(scored, modes, rules).persist()
-    out = pf.period_returns(book, df.select("dt", "ticker", c(target).alias("ret")).join(at, "dt"), rules, windows=grid.select("window_id", c("at").alias("dt")))
     used = weights.groupBy("window_id").agg(F.count("*").alias("n_features"))
+    out = pf.period_returns(book, df.select("dt", "ticker", c(target).alias("ret")).join(at, "dt"), rules, windows=grid.select("window_id", c("at").alias("dt"))).persist()
     return pf.compounded(out.join(used, "window_id", "left").withColumn("n_features", F.coalesce("n_features", F.lit(0)))).join(modes, "window_id", "left")
 
 

@@ -233,11 +233,11 @@ SELECT window_id, dt, mode, n_features, n_long, n_short, round(long_ret, 6) + 0.
 def walk_forward(spark, sf_dir):
     """From bars to capital over all windows: daily coefficients, learned weights, universe, regime, book, costs."""
     df = wide(spark, sf_dir).persist()  # one panel and one table of coefficients serve all steps
-    grid = rebalance_grid(df)
+    grid = rebalance_grid(df).persist()
     days = df.select("dt").distinct().withColumn("_row", F.row_number().over(Window.orderBy("dt")))
     ic = ics.daily_ic(df, FEATURES, "y").join(F.broadcast(days), "dt").persist()
     known = rg.steadied(rg.market_state(market(spark, sf_dir))).withColumn("known", rg.lagged()).select("dt", "known")
-    modes = grid.join(known, c("at") == c("dt")).select("window_id", bt.mode_of(c("known")).alias("mode"))
+    modes = grid.join(known, c("at") == c("dt")).select("window_id", bt.mode_of(c("known")).alias("mode")).persist()
     out = bt.walk_forward(df, ic, grid, modes, FEATURES, "y", "ret_pct_21", RULES, bars=panel(spark, sf_dir))
     return out.select("window_id", "dt", "mode", "n_features", "n_long", "n_short", *(w.rounded(k) for k in ("long_ret", "short_ret", "turnover", "net_ret")), w.rounded("capital", 5))
 
