@@ -73,8 +73,14 @@ def walk_forward(df: DataFrame, ic: DataFrame, grid: DataFrame, modes: DataFrame
     weights = learned_weights(ic, grid, **gates).persist()  # rows by window: weights, scores and book are read more than once
     at = F.broadcast(grid.select(c("at").alias("dt")))
     able = eligible(bars if bars is not None else df).select("dt", "ticker").join(at, "dt")
-    scored = weighted_scores(df.join(able, ["dt", "ticker"]), weights, grid, features, fallback).persist()
-    book = book_by_mode(scored, modes, rules).persist()
+    scored = weighted_scores(df.join(able, ["dt", "ticker"]), weights, grid, features, fallback)
+    return settled(df, scored, weights, grid, modes, target, rules)
+
+
+def settled(df: DataFrame, scored: DataFrame, weights: DataFrame, grid: DataFrame, modes: DataFrame, target: str, rules: pf.Rules) -> DataFrame:
+    """One row a window of ``grid``: from scores to books by mode, returns, costs and capital; n_features counts rows of ``weights``."""
+    at = F.broadcast(grid.select(c("at").alias("dt")))
+    book = book_by_mode(scored.persist(), modes, rules).persist()
     used = weights.groupBy("window_id").agg(F.count("*").alias("n_features"))
     out = pf.period_returns(book, df.select("dt", "ticker", c(target).alias("ret")).join(at, "dt"), rules, windows=grid.select("window_id", c("at").alias("dt"))).persist()
     return pf.compounded(out.join(used, "window_id", "left").withColumn("n_features", F.coalesce("n_features", F.lit(0)))).join(modes, "window_id", "left")

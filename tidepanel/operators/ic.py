@@ -31,6 +31,11 @@ def daily_ic(df: DataFrame, features: list[str], target: str, least: int = 3, ra
     Only complete pairs count; ties take average ranks; null without variance or below ``least`` pairs.
     """
     pairs = long(df.withColumn("_y", c(target)), features, ("dt", "ticker", "_y")).where("value is not null and _y is not null")
+    return section_ic(pairs, least, ranked)
+
+
+def section_ic(pairs: DataFrame, least: int = 3, ranked: bool = True) -> DataFrame:
+    """As daily_ic, of complete pairs in long form: dt, feature, value, _y."""
     x, y = c("value"), c("_y")
     if ranked:
         pairs = pairs.withColumns({"rx": w.percent_rank(x, keys=("dt", "feature")), "ry": w.percent_rank(y, keys=("dt", "feature"))})
@@ -43,26 +48,26 @@ def decay(half_life: float | None, end: Column, dt: Column) -> Column:
     return F.lit(1.0) if half_life is None else F.exp(F.datediff(end, dt) * F.lit(-np.log(2) / half_life))
 
 
-def newey_west(ic: DataFrame, lags: int = 5, half_life: float | None = None) -> DataFrame:
-    """(feature, ic_mean, t_nw, n): weighted mean and its t statistic under autocorrelation (Bartlett).
+def newey_west(ic: DataFrame, lags: int = 5, half_life: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., feature, ic_mean, t_nw, n): weighted mean and its t statistic under autocorrelation (Bartlett).
 
-    Lags run over the dates that have a value. Below three values t is 0.
+    Lags run over the dates that have a value. Below three values t is 0. ``by``: further keys, such as a window's.
     """
     ic = ic.where("ic is not null")
-    order = Window.partitionBy("feature").orderBy("dt")
-    of = Window.partitionBy("feature")
+    of = Window.partitionBy(*by, "feature")
+    order = of.orderBy("dt")
     ic = ic.withColumn("_w", decay(half_life, F.max("dt").over(of), c("dt")))
     ic = ic.withColumns({"_n": F.count("*").over(of), "_m": F.sum(c("_w") * c("ic")).over(of) / F.sum("_w").over(of), "_sw": F.sum("_w").over(of)})
     ic = ic.withColumns({"_e": c("ic") - c("_m"), "_v": c("_w") * c("_n") / c("_sw")})
     ic = ic.withColumns({f"_e{k}": F.lag("_e", k).over(order) for k in range(1, lags + 1)})
-    out = ic.groupBy("feature").agg(
+    out = ic.groupBy(*by, "feature").agg(
         F.max("_n").alias("n"), F.max("_m").alias("ic_mean"), F.sum(c("_v") * c("_e") * c("_e")).alias("_s0"), *(F.sum(c("_v") * c("_e") * c(f"_e{k}")).alias(f"_s{k}") for k in range(1, lags + 1))
     )
     total = c("_s0") / c("n")
     for k in range(1, lags + 1):
         total = total + F.when(c("n") - 1 > k, 2 * (1 - k / (lags + 1)) * F.coalesce(f"_s{k}", F.lit(0.0)) / c("n")).otherwise(0.0)
     error = F.sqrt(F.greatest(total / c("n"), F.lit(1e-20)))
-    return out.select("feature", "ic_mean", F.when(c("n") < 3, 0.0).otherwise(c("ic_mean") / error).alias("t_nw"), "n")
+    return out.select(*by, "feature", "ic_mean", F.when(c("n") < 3, 0.0).otherwise(c("ic_mean") / error).alias("t_nw"), "n")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -74,35 +79,38 @@ def with_p_values(tested: DataFrame) -> DataFrame:
     return tested.withColumn("p_value", F.when(c("n") > 2, t_p_value(c("t_nw"), (c("n") - 1).cast("double"))).otherwise(1.0))
 
 
-def benjamini_hochberg(tests: DataFrame, p: str = "p_value", alpha: float = 0.1) -> DataFrame:
-    """Add p_adjusted and fdr_reject over all rows: one row a hypothesis, so they are few."""
-    up = Window.orderBy(p, "feature")
-    down = Window.orderBy(F.desc(p), F.desc("feature")).rowsBetween(Window.unboundedPreceding, 0)
-    tests = tests.withColumns({"_rank": F.row_number().over(up), "_total": F.count("*").over(Window.partitionBy())})
+def benjamini_hochberg(tests: DataFrame, p: str = "p_value", alpha: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add p_adjusted and fdr_reject over all rows of a ``by``: one row a hypothesis, so they are few."""
+    of = Window.partitionBy(*by)
+    up = of.orderBy(p, "feature")
+    down = of.orderBy(F.desc(p), F.desc("feature")).rowsBetween(Window.unboundedPreceding, 0)
+    tests = tests.withColumns({"_rank": F.row_number().over(up), "_total": F.count("*").over(of)})
     tests = tests.withColumn("p_adjusted", F.least(F.lit(1.0), F.min(c(p) * c("_total") / c("_rank")).over(down)))
     return tests.withColumn("fdr_reject", c("p_adjusted") <= alpha).drop("_rank", "_total")
 
 
-def block_statistics(ic: DataFrame, size: int = 252) -> DataFrame:
-    """(feature, block, mean, t, n) over contiguous blocks of about ``size`` dates, two at least."""
-    dates = ic.select("dt").distinct().withColumns({"_i": F.row_number().over(Window.orderBy("dt")) - 1, "_n": F.count("*").over(Window.partitionBy())})
+def block_statistics(ic: DataFrame, size: int = 252, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., feature, block, mean, t, n) over contiguous blocks of about ``size`` dates, two at least."""
+    of = Window.partitionBy(*by)
+    dates = ic.select(*by, "dt").distinct().withColumns({"_i": F.row_number().over(of.orderBy("dt")) - 1, "_n": F.count("*").over(of)})
     blocks = F.greatest(F.lit(2), F.floor(c("_n") / size))
     # whole-number edges of equal parts: the block of position i is the last whose floor(b * n / blocks) is not beyond i
-    dates = dates.select("dt", blocks.alias("blocks"), (F.ceil((c("_i") + 1) * blocks / c("_n")) - 1).cast("int").alias("block"))
-    out = ic.join(F.broadcast(dates), "dt").groupBy("feature", "block", "blocks").agg(F.avg("ic").alias("mean"), F.stddev("ic").alias("_s"), F.count("*").alias("n"))
+    dates = dates.select(*by, "dt", blocks.alias("blocks"), (F.ceil((c("_i") + 1) * blocks / c("_n")) - 1).cast("int").alias("block"))
+    out = ic.join(F.broadcast(dates), [*by, "dt"]).groupBy(*by, "feature", "block", "blocks").agg(F.avg("ic").alias("mean"), F.stddev("ic").alias("_s"), F.count("*").alias("n"))
     return out.withColumn("t", F.when(c("n") > 2, c("mean") / F.greatest(c("_s") / F.sqrt("n"), F.lit(1e-10)))).drop("_s")
 
 
-def formation(ic: DataFrame, alpha: float = 0.1, floor: float = 0.02, consistency: float = 0.6, block: int = 252, passes: int = 2, block_ic: float = 0.01, block_t: float = 1.5) -> DataFrame:
-    """Test every feature: mean IC, t, p, direction consistency, block persistence, false-discovery control; approved."""
-    tested = with_p_values(newey_west(ic))
-    parts = block_statistics(ic, block).join(tested.select("feature", "ic_mean"), "feature")
+def formation(ic: DataFrame, alpha: float = 0.1, floor: float = 0.02, consistency: float = 0.6, block: int = 252, passes: int = 2, block_ic: float = 0.01, block_t: float = 1.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Test every feature (of each ``by``): mean IC, t, p, direction consistency, block persistence, false-discovery control; approved."""
+    keys = [*by, "feature"]
+    tested = with_p_values(newey_west(ic, by=by))
+    parts = block_statistics(ic, block, by).join(tested.select(*keys, "ic_mean"), keys)
     same = (F.signum("mean") == F.signum("ic_mean")) | (c("ic_mean") == 0)
     strong = (F.abs("mean") >= block_ic) | (F.abs(F.coalesce("t", F.lit(0.0))) >= block_t)
-    parts = parts.groupBy("feature").agg(
+    parts = parts.groupBy(*keys).agg(
         (F.count(F.when(same, 1)) / F.max("blocks")).alias("consistency"), F.count(F.when(same & strong, 1)).alias("block_passes"), F.max("blocks").alias("blocks")
     )
-    out = benjamini_hochberg(tested.join(parts, "feature"), alpha=alpha)
+    out = benjamini_hochberg(tested.join(parts, keys), alpha=alpha, by=by)
     good = c("fdr_reject") & (F.abs("ic_mean") >= floor) & (c("consistency") >= consistency) & (c("block_passes") >= F.least(F.lit(passes), c("blocks")))
     return out.withColumn("approved", good)
 

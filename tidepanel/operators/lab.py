@@ -61,6 +61,30 @@ def alpha_gates(df: DataFrame, features: list[str], target: str, floor: float =
     return out.select("feature", "coverage", "outliers", "sd", "ic_mean", "t_nw", "sign_share", gate.alias("gate"))
 
 
+def alpha_metrics(df: DataFrame, features: list[str], target: str, market: DataFrame, least: int = 20, share: float = 0.2, horizon: int = 21, days: int = 20) -> DataFrame:
+    """(feature, ic_abs, long_tail, spread_sharpe, turnover, stress_ic), all features in one pass over long rows.
+
+    The top and bottom ``share`` of a date's ranking are cut by position, ties by ticker, on dates of ``least`` values. long_tail: mean of the top over
+    all; spread_sharpe: yearly ratio of top less bottom; turnover: mean share of the top that was not on top at the feature's
+    date before; stress_ic: mean coefficient on dates on which ``market`` (dt, mkt) fell, null with fewer than ``days`` of them.
+    """
+    rows = ics.long(df.withColumn("_y", c(target)), features, ("dt", "ticker", "_y")).where("value is not null and _y is not null")
+    ic = ics.section_ic(rows).join(F.broadcast(market.select("dt", "mkt")), "dt", "left")  # a row a date
+    fell = (c("mkt") < 0) & c("ic").isNotNull()
+    ic = ic.groupBy("feature").agg(F.abs(F.avg("ic")).alias("ic_abs"), F.when(F.count(F.when(fell, 1)) >= days, F.avg(F.when(fell, c("ic")))).alias("stress_ic"))
+    of = Window.partitionBy("dt", "feature")
+    rows = rows.withColumns({"_n": F.count("*").over(of), "_up": F.row_number().over(of.orderBy(F.desc("value"), "ticker")), "_down": F.row_number().over(of.orderBy("value", "ticker"))})
+    rows = rows.where(c("_n") >= least).withColumn("_k", F.greatest(F.lit(1), F.floor(c("_n") * share)))
+    daily = rows.groupBy("feature", "dt").agg(F.avg(F.when(c("_up") <= c("_k"), c("_y"))).alias("top"), F.avg(F.when(c("_down") <= c("_k"), c("_y"))).alias("low"), F.avg("_y").alias("mid"))
+    gap = c("top") - c("low")
+    out = daily.groupBy("feature").agg(F.avg(c("top") - c("mid")).alias("long_tail"), F.try_divide(F.avg(gap), F.stddev(gap)).alias("_s"))
+    out = out.select("feature", "long_tail", (c("_s") * (252.0 / horizon) ** 0.5).alias("spread_sharpe"))
+    place = rows.withColumn("_d", F.dense_rank().over(Window.partitionBy("feature").orderBy("dt"))).where(c("_up") <= c("_k"))
+    before = F.lag("_d").over(Window.partitionBy("feature", "ticker").orderBy("dt"))
+    new = place.withColumn("_new", F.when(before == c("_d") - 1, 0).otherwise(1)).where(c("_d") > 1).groupBy("feature", "dt").agg(F.avg("_new").alias("t"))
+    return ic.join(out, "feature", "left").join(new.groupBy("feature").agg(F.avg("t").alias("turnover")), "feature", "left").select("feature", "ic_abs", "long_tail", "spread_sharpe", "turnover", "stress_ic")
+
+
 def composite(metrics: DataFrame, weights: dict[str, float], lower_better: tuple[str, ...] = ()) -> DataFrame:
     """Add composite: weighted sum of percentiles 0 to 100 of each metric, 50 where it is missing."""
     made = {}

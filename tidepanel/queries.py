@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.plans import audits, cross, features, research, studies, trading  # noqa: F401
+from tidepanel.plans import audits, chains, cross, features, research, studies, trading  # noqa: F401
 from tidepanel.registry import ORACLES, QUERIES
 
 

@@ -52,6 +52,29 @@ def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
 
 
+def write_results(df: DataFrame, path: str, name: str, stamp: str, kind: str = "csv") -> list[str]:
+    """A small result twice: under its time stamp, which stays, and as the latest, which is replaced. Returns both paths."""
+    paths = [f"{path}/{name}_{stamp}", f"{path}/{name}_latest"]
+    for to in paths:
+        write_report(df, to, kind)
+    return paths
+
+
+def write_bundle(frames: dict[str, DataFrame], figures: dict[str, dict[str, float]], path: str, stamp: str, prefix: str = "attribution") -> list[str]:
+    """Every frame that has rows as a file of its own, and all named figures as one summary (category, metric, value). Returns the paths."""
+    paths = []
+    for name, df in frames.items():
+        if not df.isEmpty():
+            paths.append(f"{path}/{prefix}_{name}_{stamp}")
+            write_report(df, paths[-1])
+    rows = [(k, m, None if v is None else float(v)) for k, of in figures.items() for m, v in of.items()]
+    if rows:
+        spark = SparkSession.active()
+        paths.append(f"{path}/{prefix}_summary_{stamp}")
+        write_report(spark.createDataFrame(rows, "category string, metric string, value double"), paths[-1])
+    return paths
+
+
 def config_hash(config: dict) -> str:
     """Twelve characters that name a configuration, whatever the order of its keys."""
     return hashlib.md5(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:12]
