@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,21 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once under spark.checkpoint.dir, and without its history, which long chains would plan again at every use.
+
+    Where that is not set, a session of one machine uses a temporary folder; a cluster raises.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="tidepanel-"))
+    return df.checkpoint()
+
+
 def learned_weights(ic: DataFrame, grid: DataFrame, days: int = 364, embargo: int = 21, floor: float = 0.02, t: float = 1.96, sign: float = 0.55, least: int = 12) -> DataFrame:
     """(window_id, feature, weight): mean information coefficients over the window's past, of features that pass all gates.
 

@@ -93,23 +93,23 @@ def formation_windows(spark, sf_dir):
 @query("t07_l17_l21_walk_forward_models")
 def walk_forward_models(spark, sf_dir):
     """From bars to capital: formation of features and interactions, a sparse model, universe, regime, book and costs by window."""
-    df = wide(spark, sf_dir).withColumn("_y", c("y")).persist()  # one panel serves all steps
-    grid, days = rebalance_grid(df).persist(), _calendar(df)
+    df = bt.cut(wide(spark, sf_dir).withColumn("_y", c("y")))  # one panel serves all steps
+    grid, days = bt.cut(rebalance_grid(df)), _calendar(df)
     keep = ("dt", "ticker", "_y")
     base = _placed(ics.long(df, FEATURES, keep), days)
     crossed = _placed(inter.interactions(df, _FAMILY, keep), days)
-    coefficients = lambda rows: _placed(ics.section_ic(rows.where("value is not null and _y is not null")), days).persist()
-    tested, screened = (st.formation(coefficients(rows), grid, _FORMED_DAYS, block=_BLOCK).persist() for rows in (base, crossed))
+    coefficients = lambda rows: _placed(ics.section_ic(rows.where("value is not null and _y is not null")), days)
+    tested, screened = (bt.cut(st.formation(bt.cut(coefficients(rows)), grid, _FORMED_DAYS, block=_BLOCK)) for rows in (base, crossed))
     parents = {n: of for n, (_, of) in inter.expressions(_FAMILY).items()}
-    pool = st.pools(tested, screened, parents, {f: d for f, d in _DAYS.items() if d}).persist()
+    pool = st.pools(tested, screened, parents, {f: d for f, d in _DAYS.items() if d})
     values = base.unionByName(crossed)
-    models = st.sparse_models(values, pool, grid).persist()
+    models = bt.cut(st.sparse_models(values, bt.cut(pool), grid))
     priced = panel(spark, sf_dir)
     able = bt.eligible(priced).select("dt", "ticker").join(F.broadcast(grid.select(c("at").alias("dt"))), "dt")
-    scored = st.model_scores(values, able, models, grid, "ret_pct_21")
+    scored = bt.cut(st.model_scores(values, able, models, grid, "ret_pct_21"))
     known = rg.steadied(rg.market_state(market(spark, sf_dir))).withColumn("known", rg.lagged()).select("dt", "known")
-    modes = grid.join(known, c("at") == c("dt")).select("window_id", bt.mode_of(c("known")).alias("mode")).persist()
-    out = bt.settled(df, scored, models, grid, modes, "y", RULES)
+    modes = grid.join(known, c("at") == c("dt")).select("window_id", bt.mode_of(c("known")).alias("mode"))
+    out = bt.settled(df, scored, models, grid, bt.cut(modes), "y", RULES)
     return out.select("window_id", "dt", "mode", "n_features", "n_long", "n_short", *(w.rounded(k) for k in ("long_ret", "short_ret", "turnover", "net_ret")), w.rounded("capital", 5))
 
 
