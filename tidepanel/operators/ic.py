@@ -96,7 +96,7 @@ def block_statistics(ic: DataFrame, size: int = 252, by: tuple[str, ...] = ()) -
     blocks = F.greatest(F.lit(2), F.floor(c("_n") / size))
     # whole-number edges of equal parts: the block of position i is the last whose floor(b * n / blocks) is not beyond i
     dates = dates.select(*by, "dt", blocks.alias("blocks"), (F.ceil((c("_i") + 1) * blocks / c("_n")) - 1).cast("int").alias("block"))
-    out = ic.join(F.broadcast(dates), [*by, "dt"]).groupBy(*by, "feature", "block", "blocks").agg(F.avg("ic").alias("mean"), F.stddev("ic").alias("_s"), F.count("*").alias("n"))
+    out = ic.join(F.broadcast(dates), [*by, "dt"]).groupBy(*by, "feature", "block", "blocks").agg(F.round(F.avg("ic"), 12).alias("mean"), F.stddev("ic").alias("_s"), F.count("*").alias("n"))  # what is only rounding has no sign
     return out.withColumn("t", F.when(c("n") > 2, c("mean") / F.greatest(c("_s") / F.sqrt("n"), F.lit(1e-10)))).drop("_s")
 
 
@@ -104,7 +104,7 @@ def formation(ic: DataFrame, alpha: float = 0.1, floor: float = 0.02, consistenc
     """Test every feature (of each ``by``): mean IC, t, p, direction consistency, block persistence, false-discovery control; approved."""
     keys = [*by, "feature"]
     tested = with_p_values(newey_west(ic, by=by))
-    parts = block_statistics(ic, block, by).join(tested.select(*keys, "ic_mean"), keys)
+    parts = block_statistics(ic, block, by).join(tested.select(*keys, F.round("ic_mean", 12).alias("ic_mean")), keys)
     same = (F.signum("mean") == F.signum("ic_mean")) | (c("ic_mean") == 0)
     strong = (F.abs("mean") >= block_ic) | (F.abs(F.coalesce("t", F.lit(0.0))) >= block_t)
     parts = parts.groupBy(*keys).agg(

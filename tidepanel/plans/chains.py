@@ -63,10 +63,10 @@ _FORMED = f"""
 WITH {_nw('1.0').replace(', w0 AS', f', {_IN_WINDOW}, w0 AS', 1).replace('FROM ic WHERE ic IS NOT NULL', 'FROM icw')}, tp AS (SELECT *, CAST(split_part(feature, '|', 1) AS INT) AS window_id, greatest(0, {_P}) AS p_value FROM nw
 ), dd AS (SELECT window_id, dt, row_number() OVER g - 1 AS i, count(*) OVER (PARTITION BY window_id) AS total FROM (SELECT DISTINCT window_id, dt FROM icw) WINDOW g AS (PARTITION BY window_id ORDER BY dt)
 ), bl AS (SELECT window_id, dt, greatest(2, floor(total / {_BLOCK}.0)) AS blocks, ceil((i + 1) * greatest(2, floor(total / {_BLOCK}.0)) / total) - 1 AS block FROM dd
-), bs AS (SELECT feature, block, max(blocks) AS blocks, avg(ic) AS mean, CASE WHEN count(*) > 2 THEN avg(ic) / greatest(stddev_samp(ic) / sqrt(count(*)), 1e-10) END AS t FROM icw JOIN bl USING (window_id, dt) GROUP BY 1, 2
+), bs AS (SELECT feature, block, max(blocks) AS blocks, round(avg(ic), 12) AS mean, CASE WHEN count(*) > 2 THEN avg(ic) / greatest(stddev_samp(ic) / sqrt(count(*)), 1e-10) END AS t FROM icw JOIN bl USING (window_id, dt) GROUP BY 1, 2
 ), bc AS (
-  SELECT feature, count(*) FILTER (sign(mean) = sign(ic_mean) OR ic_mean = 0) / max(blocks) AS consistency, max(blocks) AS blocks,
-    count(*) FILTER ((sign(mean) = sign(ic_mean) OR ic_mean = 0) AND (abs(mean) >= 0.01 OR abs(coalesce(t, 0)) >= 1.5)) AS block_passes FROM bs JOIN nw USING (feature) GROUP BY 1
+  SELECT feature, count(*) FILTER (sign(mean) = sign(round(ic_mean, 12)) OR round(ic_mean, 12) = 0) / max(blocks) AS consistency, max(blocks) AS blocks,
+    count(*) FILTER ((sign(mean) = sign(round(ic_mean, 12)) OR round(ic_mean, 12) = 0) AND (abs(mean) >= 0.01 OR abs(coalesce(t, 0)) >= 1.5)) AS block_passes FROM bs JOIN nw USING (feature) GROUP BY 1
 ), bh AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY p_value, feature) AS r, count(*) OVER (PARTITION BY window_id) AS total FROM tp
 ), ad AS (SELECT *, least(1, min(p_value * total / r) OVER (PARTITION BY window_id ORDER BY p_value DESC, feature DESC ROWS UNBOUNDED PRECEDING)) AS p_adjusted FROM bh)
 SELECT window_id, split_part(feature, '|', 2) AS feature, n, round(ic_mean, 6) + 0.0 AS ic_mean, round(t_nw, 4) + 0.0 AS t_nw, round(p_value, 5) + 0.0 AS p_value, round(p_adjusted, 5) + 0.0 AS p_adjusted, round(consistency, 6) + 0.0 AS consistency, block_passes,
