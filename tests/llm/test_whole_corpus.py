@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import blob_ledger, langid_ecoc, template_ec
+from tidepanel.llm import blob_ledger, langid_ecoc, quality_llr, template_ec
 from tidepanel.llm.common import materialize, ready
 
 
@@ -105,3 +106,57 @@ def test_the_sample_is_that_of_least_hash(spark, monkeypatch):
     at = np.cumsum([0, *map(len, raw)])
     whole = langid_ecoc.features(np.frombuffer(b"".join(raw), np.uint8), at)
     assert np.allclose(np.sort(got, axis=0), np.sort(whole, axis=0), atol=1e-6)
+
+
+def test_quality_learns_from_every_trusted_document(spark):
+    """More trusted documents than the 20,000 that target and threshold once were made of, against brute force."""
+    ready(spark)
+    rng = np.random.default_rng(12)
+    letters = np.array(list("abcdefghij"))
+    rows = [(i, " ".join("".join(letters[w]) for w in rng.integers(i % 3, 8 + i % 3, (50, 3)))) for i in range(24_000)]
+    rows = [(i, t if i % 20 else t.upper()) for i, t in rows]  # of which the target has few and the corpus many
+    rows += [rows[1]] * 2 + [(i, text.upper()) for i, text in zip(range(24_000, 27_000), (t for _, t in rows), strict=False)] + [(None, rows[0][1]), (27_000, None)]
+    labels = [(i, 1) for i in range(23_000)] + [(0, 0), (1, None), (2, 1), (None, 1)] + [(i, 0) for i in range(23_000, 23_500)] + [(i, 1) for i in range(50_000, 80_000)]
+    got = quality_llr.quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+
+    def bins(text):
+        b = np.frombuffer((text or "").encode(), np.uint8).astype(np.uint64)
+        gram = b[:-3] << np.uint64(24) | b[1:-2] << np.uint64(16) | b[2:-1] << np.uint64(8) | b[3:] if len(b) > 3 else np.zeros(0, np.uint64)
+        return ((gram * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) >> np.uint64(16)).astype(np.int64)
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    corpus, target = np.full(1 << 16, quality_llr.LEAST), np.zeros(1 << 16)
+    for i, text in rows:
+        np.add.at(corpus, bins(text), 1)
+        if i is not None and 0 < i < 23_000 and not held(i):
+            np.add.at(target, bins(text), 1)
+    corpus /= corpus.sum()
+    weights = np.log((target + quality_llr.PRIOR * corpus) / (target.sum() + quality_llr.PRIOR)) - np.log(corpus)
+    want = {i: weights[bins(text)].sum() / max(len(bins(text)), 1) for i, text in rows}
+    assert len(got) == len(rows)
+    assert max(abs(r.score - want[r.doc_id]) for r in got) < 1e-9
+    reached = sorted((r.score for r in got if r.doc_id is not None and 0 < r.doc_id < 23_000 and held(r.doc_id) and not r.base_failed), reverse=True)
+    threshold = reached[-(-98 * len(reached) // 100) - 1]
+    assert threshold < 0 and len(reached) > 5_500 and all(r.kept == (not r.base_failed and r.score >= threshold) for r in got)
+
+
+def test_the_score_that_a_share_reaches_is_exact(spark):
+    rng = random.Random(13)
+    spread = [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-300, 300) for _ in range(2_000)] + [0.0, 5e-324, -5e-324]
+    close = [-0.25 - k * 2.0**-54 for k in range(500)] * 3
+    for values in (spread, close, [-1.5], [2.0, -3.0], [-0.5] * 70):
+        scores = spark.createDataFrame([(x,) for x in values], "score double").repartition(3)
+        down = sorted(values, reverse=True)
+        assert [quality_llr.reached_by(scores, s / 100) for s in (50, 98)] == [down[-(-s * len(down) // 100) - 1] for s in (50, 98)]
+    assert quality_llr.reached_by(spark.createDataFrame([], "score double"), 0.98) is None
+
+
+@pytest.mark.parametrize("words", [1, quality_llr.WORDS])
+def test_texts_of_ids_are_found_exactly_and_others_are_not_shuffled(spark, monkeypatch, words):
+    monkeypatch.setattr(quality_llr, "WORDS", words)
+    texts = spark.createDataFrame([(i % 900 - 450, f"t{i}") for i in range(1_000)] + [(None, "x")], "doc_id long, text string")
+    ids = materialize(spark.createDataFrame([(i,) for i in range(-400, 2_000, 3)], "doc_id long"))
+    got = quality_llr.of_ids(texts, ids)
+    assert sorted(r.text for r in got.collect()) == sorted(r.text for r in texts.collect() if r.doc_id is not None and r.doc_id >= -400 and (r.doc_id + 400) % 3 == 0)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")  # the filter is below the join that shuffles
