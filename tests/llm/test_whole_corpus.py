@@ -160,3 +160,33 @@ def test_texts_of_ids_are_found_exactly_and_others_are_not_shuffled(spark, monke
     assert sorted(r.text for r in got.collect()) == sorted(r.text for r in texts.collect() if r.doc_id is not None and r.doc_id >= -400 and (r.doc_id + 400) % 3 == 0)
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")  # the filter is below the join that shuffles
+
+
+def test_the_driver_gets_no_more_rows_than_are_fitted_on(spark, monkeypatch):
+    """And it gets those of least hash: in order of language and hash, whatever order they come in."""
+    ready(spark)
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcdef" if i % 2 else "uvwxyz") for _ in range(4)) for _ in range(12)), "aa" if i % 2 else "bb") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    sent, fitted = [], []
+    frame, model = type(df), langid_ecoc.Model
+    to_arrow = frame.toArrow
+
+    class Seen(model):
+        def __init__(self, languages, x, y):
+            fitted.append((x.copy(), y.tolist()))
+            super().__init__(languages, x, y)
+
+    monkeypatch.setattr(frame, "toArrow", lambda self: sent.append(to_arrow(self)) or sent[-1])
+    monkeypatch.setattr(langid_ecoc, "Model", Seen)
+    monkeypatch.setattr(langid_ecoc, "PER_LANGUAGE", 20)
+    langid_ecoc.fit(df)
+    assert [len(t) for t in sent] == [40] and fitted[0][1] == [0] * 20 + [1] * 20
+    keyed = df.where((langid_ecoc.crc_fold(F.col("doc_id"), 4) != 2)).select("lang", "text", F.xxhash64("doc_id", "text").alias("k")).collect()
+    want = []
+    for lang in ("aa", "bb"):
+        least = sorted((r.k % (1 << 30), r.k, r.text) for r in keyed if r.lang == lang)[:20]
+        raw = [t.encode() for *_, t in least]
+        at = np.cumsum([0, *map(len, raw)])
+        want.append(langid_ecoc.features(np.frombuffer(b"".join(raw), np.uint8), at).astype("<f4"))
+    assert (fitted[0][0] == np.concatenate(want)).all()

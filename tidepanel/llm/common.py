@@ -96,6 +96,16 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the driver, its JVM and its Python, give memory back.
+
+    Its heap grows with the stages and tasks that it plans and stays so until a full collection; plans that Python
+    has let go of go with it.
+    """
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rows_by_key(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Groups of consecutive rows that share ``key``, from batches sorted by it."""
     held: list[pa.RecordBatch] = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import lean, materialize
+from tidepanel.llm.common import give_back, lean, materialize
 
 
 class UnionFind:
@@ -72,5 +72,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if found == mark:
             break
         mark = found
+        give_back(spark)
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

@@ -9,7 +9,6 @@ document as ambiguous.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import crc_fold, lean
+from tidepanel.llm.common import crc_fold, give_back, lean
 from tidepanel.llm.textkernel import slices
 
 #: Hashed features of a text.
@@ -83,7 +82,7 @@ def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, raw, at in slices(batch.column(1), 1 << 18):
             x = features(raw, at).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "place", "x"])
 
 
 class Model:
@@ -133,15 +132,19 @@ def fit(docs: DataFrame, parts: int = 4, held: int = 2) -> Model:
     cuts = docs.sparkSession.createDataFrame([(k, int(min(1.0, 1.3 * (most + 6 * math.sqrt(most) + 6) / n) * top)) for k, n in sizes.items()], "of string, cut long")
     chosen = keyed.join(F.broadcast(cuts), F.col("lang") == F.col("of")).where(F.col("h") < F.col("cut"))
     once = chosen.groupBy("lang", "k").agg(F.any_value("text").alias("text"), F.any_value("h").alias("h"))
-    got = once.select("lang", "text", "h").mapInArrow(lambda it: lean(_sampled(it)), "lang string, h long, x binary").toArrow()
+    # only what is fitted on is sent: a language has at most so many rows here as its cut leaves
+    least = once.withColumn("place", F.expr("row_number() over (partition by lang order by h, k)")).where(F.col("place") <= most)
+    got = least.select("lang", "text", "place").mapInArrow(lambda it: lean(_sampled(it)), "lang string, place int, x binary").toArrow()
     number = {k: i for i, k in enumerate(languages)}
-    x, y, taken = np.empty((min(most * len(languages), len(got)), FEATURES)), [], Counter()
-    for lang, _, features_ in sorted(zip(got["lang"].to_pylist(), got["h"].to_pylist(), got["x"].to_pylist(), strict=True)):
-        if taken[lang] < most:
-            taken[lang] += 1
-            x[len(y)] = np.frombuffer(features_, "<f4")
-            y.append(number[lang])
-    return Model(languages, x[: len(y)], np.array(y, int))
+    order = sorted(range(len(got)), key=list(zip(got["lang"].to_pylist(), got["place"].to_pylist(), strict=True)).__getitem__)
+    x, y = np.empty((len(got), FEATURES)), np.array([number[got["lang"][i].as_py()] for i in order], int)
+    for row, i in enumerate(order):
+        x[row] = np.frombuffer(got["x"][i].as_buffer(), "<f4")
+    del got
+    model = Model(languages, x, y)
+    del x
+    give_back(docs.sparkSession)
+    return model
 
 
 def _predicted(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

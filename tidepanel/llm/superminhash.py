@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import lean, materialize, rows_by_key
+from tidepanel.llm.common import give_back, lean, materialize, rows_by_key
 from tidepanel.llm.graph import UnionFind, connected_components
 from tidepanel.llm.textkernel import mix, shingle_sets, slices
 
@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
     buckets = materialize(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     members = materialize(banded.join(buckets, "key"))
     stars = materialize(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    give_back(docs.sparkSession)
 
     def sets_of(ids: DataFrame, wide: bool) -> DataFrame:
         return materialize(
@@ -245,6 +246,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
     judged = materialize(_confirmed(stars, sets, False).select("a", "b", (F.lit(1.0) - share).alias("far"), (F.abs(share - F.lit(at)) < F.lit(MARGIN)).alias("close")))
     linked = judged.where(~F.col("close") & (F.col("far") < F.lit(1 - at))).select("a", "b").union(exact(judged.where("close").select("a", "b")))
     groups = materialize(connected_components(linked))
+    give_back(docs.sparkSession)
 
     placed = materialize(
         members.join(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), "far"), ["hub", "id"], "left")
@@ -267,6 +269,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rows: int =
         .select("key", (F.col("kind") - F.col("visit")).alias("kind"), "visit", "id", "size", "comp", "far", "band")
     )
     rest = materialize(rest)
+    give_back(docs.sparkSession)
     split = (
         rest.groupBy("key", "kind")
         .agg(
